@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import encoding, tables
+from quillspark.llm import canonical, encoding, tables
+from quillspark.session import stored
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records that look the same and are stored differently."""
+    return canonical.look_alike_pairs(stored(canonical.same_looking(tables.records(spark, d))))
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its text in the consistent form, once each."""
+    rows = tables.records(spark, d).dropDuplicates(["table_name", "record_key"])
+    return rows.select("table_name", "record_key", canonical.canonical_text(F.col("text")).alias("text"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,5 +32,5 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.dropDuplicates(["table_name", "record_key"])
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p5_found, p5_restored)}
 SQL: dict[str, str] = {}
