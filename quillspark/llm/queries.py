@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encoding, tables
+from quillspark.llm import canonical, encoding, packing, splitting, tables
 from quillspark.session import stored
 
 
@@ -32,5 +32,26 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.dropDuplicates(["table_name", "record_key"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p5_found, p5_restored)}
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of its pieces where it exceeds the capacity."""
+    sized = _documents(spark, d).select("doc_id", packing.token_count(F.col("text")).alias("n_tokens"))
+    return packing.pack(stored(sized), "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: one row per group."""
+    filled = p6_containers(spark, d).groupBy("group_no", "container_no").agg(F.sum("piece_tokens").alias("n"))
+    return filled.groupBy("group_no").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * packing.CAPACITY)).alias("fill"))
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every document beyond the limit."""
+    return splitting.split_oversized(_documents(spark, d), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p5_found, p5_restored, p6_containers, p6_fill, p8_pieces)}
 SQL: dict[str, str] = {}
