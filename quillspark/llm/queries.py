@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encoding, packing, splitting, tables
+from quillspark.llm import canonical, encoding, packing, repeated_lines, splitting, tables
 from quillspark.session import stored
 
 
+def _typed_pages(spark: SparkSession, d: str) -> DataFrame:
+    return tables.pages(spark, d).filter("extraction_library <> 'pytesseract'").select("page_key", "document_id", F.col("raw_text").alias("text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that come back on page after page of their document."""
+    return repeated_lines.repeated_lines(_typed_pages(spark, d)).select("page_key", "line_no")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every page, once, without those lines."""
+    return repeated_lines.clean_pages(_typed_pages(spark, d)).select("page_key", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that look the same and are stored differently."""
     return canonical.look_alike_pairs(stored(canonical.same_looking(tables.records(spark, d))))
@@ -53,5 +67,23 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_documents(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p5_found, p5_restored, p6_containers, p6_fill, p8_pieces)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p5_found, p5_restored, p6_containers, p6_fill, p8_pieces)}
+_LINES = """
+WITH pages AS (
+  SELECT page_key, any_value(document_id) AS document_id, any_value(raw_text) AS t FROM pages_df
+  WHERE extraction_library <> 'pytesseract' AND trim(raw_text) <> '' GROUP BY page_key),
+lines AS (
+  SELECT page_key, document_id, unnest(string_split(t, chr(10))) AS raw,
+    generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM pages),
+folded AS (
+  SELECT page_key, document_id, line_no, raw, regexp_replace(trim(regexp_replace(lower(raw),
+    '[\\s\\x{0b}\\x{85}\\p{Z}]+', ' ', 'g')), '\\p{Nd}+', '0', 'g') AS line FROM lines),
+many AS (
+  SELECT document_id, line FROM folded JOIN (SELECT document_id, count(*) AS n FROM pages GROUP BY 1) USING (document_id)
+  WHERE regexp_matches(line, '\\p{L}') GROUP BY document_id, line, n
+  HAVING count(DISTINCT page_key) >= 5 AND count(DISTINCT page_key) * 5 >= n)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": _LINES + "SELECT page_key, line_no::BIGINT AS line_no FROM folded JOIN many USING (document_id, line)",
+}
