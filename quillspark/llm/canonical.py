@@ -95,9 +95,16 @@ def tables() -> dict:
         for a, b in zip(own, like):
             script[ord(a)], latin[ord(a)] = kind, ord(b)
             to[kind][ord(b)] = ord(a)
+    folds = _folds()
+    touched = np.zeros(LAST + 1, dtype=bool)
+    touched[list(folds)] = touched[0] = True
+    touched[np.flatnonzero(script)] = True
+    touched[: LAST] |= (ccc[:LAST] > 0) | second[:LAST]
+    touched[[c for c in apart if unicodedata.normalize("NFC", chr(c)) != chr(c)]] = True
+    touched[0] = False
     word = letter.copy()
     word[ord("0") : ord("9") + 1] = True
-    return {"folds": Expansions(_folds()), "apart": Expansions(apart), "keys": keys, "values": np.array([pairs[int(k)] for k in keys], dtype=np.uint32), "ccc": ccc, "second": second, "script": script, "latin": latin, "to": to, "word": word}
+    return {"touched": touched, "folds": Expansions(folds), "apart": Expansions(apart), "keys": keys, "values": np.array([pairs[int(k)] for k in keys], dtype=np.uint32), "ccc": ccc, "second": second, "script": script, "latin": latin, "to": to, "word": word}
 
 
 def _composed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +121,7 @@ def _composed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def compose(flat: np.ndarray) -> np.ndarray:
     """Normal form C of a flat array, all texts at once."""
-    return _together(expand(flat, tables()["apart"])[0])
+    return _together(expand(flat, tables()["apart"]))
 
 
 def _together(flat: np.ndarray) -> np.ndarray:
@@ -144,13 +151,16 @@ def _together(flat: np.ndarray) -> np.ndarray:
 
 def _with_marks(flat: np.ndarray, ccc: np.ndarray) -> np.ndarray:
     """Put the marks of each letter into canonical order and compose those that do."""
-    starter = ccc == 0
-    order = np.lexsort((ccc, np.cumsum(starter)))  # stable; a letter has class 0 and stays before its marks
-    flat, ccc = flat[order].copy(), ccc[order]
+    if ((ccc[1:] > 0) & (ccc[:-1] > ccc[1:])).any():
+        order = np.lexsort((ccc, np.cumsum(ccc == 0)))  # stable; a letter has class 0 and stays before its marks
+        flat, ccc = flat[order], ccc[order]
+    flat = flat.copy()
     keep = np.ones(len(flat), dtype=bool)
-    heads = np.flatnonzero(starter)
-    sizes = np.diff(np.concatenate((heads, [len(flat)])))
-    live, last = np.flatnonzero(sizes > 1), np.zeros(len(heads), dtype=np.int64)
+    marks = np.flatnonzero(ccc)
+    first = np.concatenate(([True], np.diff(marks) > 1))
+    heads = marks[first] - 1
+    sizes = np.diff(np.concatenate((np.flatnonzero(first), [len(marks)]))) + 1
+    live, last = np.arange(len(heads)), np.zeros(len(heads), dtype=np.int64)
     step = 1
     while len(live):  # the step-th mark of every letter that has one
         head, mark = heads[live], heads[live] + step
@@ -170,7 +180,7 @@ def _fold(flat: np.ndarray) -> np.ndarray:
     joiner = ((flat == 0x200C) | (flat == 0x200D) | ((flat >= 0xFE00) & (flat < 0xFE10))) & joins
     held = np.where(joiner, np.uint32(0x10FFFE), flat)
     held = held[~((held == 0x0D) & (np.concatenate((held[1:], [0])) == 0x0A))]
-    out, _ = expand(held, t["folds"])
+    out = expand(held, t["folds"])
     if joiner.any():
         out[out == 0x10FFFE] = 0x200D
     return out
@@ -194,13 +204,20 @@ def _one_script(flat: np.ndarray) -> np.ndarray:
 
 
 def canonical_list(texts: list[str]) -> list[str]:
-    """The consistent form of each text."""
+    """The consistent form of each text. Texts without a character that any step touches stay."""
     if not texts:
         return []
-    flat, _ = flatten([x.replace("\0", "�") for x in texts])
-    flat = _together(_one_script(expand(_fold(flat), tables()["apart"])[0]))
-    bounds = np.flatnonzero(flat == 0)
-    return unflatten(flat, bounds[:-1] + 1, bounds[1:])
+    flat, starts = flatten(texts)
+    touched = tables()["touched"][np.minimum(flat, LAST)] | ((flat == 0x0D) & (np.append(flat[1:], 0) == 0x0A))
+    rows = np.unique(np.searchsorted(starts, np.flatnonzero(touched), side="right") - 1).tolist()
+    out = list(texts)
+    if rows:
+        flat, _ = flatten([texts[i].replace("\0", "\ufffd") for i in rows])
+        flat = _together(_one_script(expand(_fold(flat), tables()["apart"])))
+        bounds = np.flatnonzero(flat == 0)
+        for i, new in zip(rows, unflatten(flat, bounds[:-1] + 1, bounds[1:])):
+            out[i] = new
+    return out
 
 
 @F.pandas_udf(StringType())

@@ -27,16 +27,22 @@ def unflatten(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[st
     return [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def expand(flat: np.ndarray, table: "Expansions") -> tuple[np.ndarray, np.ndarray]:
-    """Replace every code point by its expansion; also the source position of each result."""
+def expand(flat: np.ndarray, table: "Expansions") -> np.ndarray:
+    """Replace every code point that the table holds by its expansion."""
     slot = table.slot_of(flat)
-    lengths = np.where(slot >= 0, table.length[slot], 1)
-    total = np.cumsum(lengths)
-    source = np.repeat(np.arange(len(flat)), lengths)
-    inner = np.arange(int(total[-1]) if len(total) else 0) - (total - lengths)[source]
-    slots = slot[source]
-    out = np.where(slots >= 0, table.values[np.where(slots >= 0, table.offset[slots] + inner, 0)], flat[source])
-    return out.astype(np.uint32), source
+    at = np.flatnonzero(slot >= 0)
+    if not len(at):
+        return flat
+    slot = slot[at]
+    length = table.length[slot]
+    repeats = np.ones(len(flat), dtype=np.int64)
+    repeats[at] = length
+    out = np.repeat(flat, repeats)
+    to = at + np.cumsum(length - 1) - (length - 1)
+    for j in range(int(length.max())):
+        more = length > j
+        out[to[more] + j] = table.values[table.offset[slot[more]] + j]
+    return out
 
 
 class Expansions:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encoding, packing, repeated_lines, splitting, tables
+from quillspark.llm import canonical, encoding, leaks, packing, repeated_lines, splitting, tables
 from quillspark.session import stored
 
 
@@ -62,12 +62,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return filled.groupBy("group_no").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * packing.CAPACITY)).alias("fill"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the held-out items that leaked into them."""
+    return leaks.leaks(_documents(spark, d), spark.read.parquet(f"{d}/heldout_items.parquet"))
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every document beyond the limit."""
     return splitting.split_oversized(_documents(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p5_found, p5_restored, p6_containers, p6_fill, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p5_found, p5_restored, p6_containers, p6_fill, p7_found, p8_pieces)}
 _LINES = """
 WITH pages AS (
   SELECT page_key, any_value(document_id) AS document_id, any_value(raw_text) AS t FROM pages_df
