@@ -50,19 +50,45 @@ def _byte_of(encoding: str) -> np.ndarray:
 BYTES = [_byte_of(e) for e in ENCODINGS]
 
 
-def _chars(table: np.ndarray, low: int, high: int) -> str:
-    return "".join(f"\\x{{{c:x}}}" for c in np.flatnonzero((table >= low) & (table <= high)))
-
-
-def suspicious_pattern() -> str:
-    """A Java pattern that every text with a garbled or lost character matches: a lead byte's character
-    followed by a continuation byte's, in one of the encodings."""
-    parts = [f"[{_chars(t, 0xC2, 0xF4)}][{_chars(t, 0x80, 0xBF)}]" for t in BYTES]
-    return "|".join([*parts, r"\x{c3} ", r"[\x{80}-\x{9f}\x{fffd}]"])
+#: What every text with a garbled or lost character matches (Java): two neighbours beyond ASCII out of the
+#: range that holds all characters of the encodings, a lost or control character, or the lead of an
+#: accented letter before a blank that was a no-break space.
+SUSPICIOUS = r"[\x{80}-\x{25ff}\x{f8ff}\x{fb01}\x{fb02}]{2}|[\x{80}-\x{9f}\x{fffd}]|\x{c3} "
 
 
 def suspicious(text: Column) -> Column:
-    return (F.octet_length(text) != F.length(text)) & text.rlike(suspicious_pattern())
+    return (F.octet_length(text) != F.length(text)) & text.rlike(SUSPICIOUS)
+
+
+def sequences(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each encoding, where a sequence begins that decodes to one character, its length, and the
+    character."""
+    after = np.append(flat[1:], 0)
+    at = np.flatnonzero((flat >= 0x80) & ((after >= 0x80) | ((flat == 0xC3) & (after == 0x20))))
+    near = [np.minimum(np.append(flat, [0] * 3)[at + d], 0xFFFF) for d in range(4)]
+    out = []
+    for k, table in enumerate(BYTES):
+        b0, b1, b2, b3 = (table[x].astype(np.int32) for x in near)
+        if k < 2:
+            b1 = np.where((near[1] == 0x20) & (b0 == 0xC3), 0xA0, b1)
+        t1, t2, t3 = ((b >= 0x80) & (b <= 0xBF) for b in (b1, b2, b3))
+        two = (b0 >= 0xC2) & (b0 <= 0xDF) & t1
+        three = (b0 >= 0xE0) & (b0 <= 0xEF) & t1 & t2
+        four = (b0 >= 0xF0) & (b0 <= 0xF4) & t1 & t2 & t3
+        cp = np.where(two, (b0 & 31) << 6 | b1 & 63, np.where(three, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63))
+        n = np.where(two, 2, np.where(three & (cp >= 0x800) & ((cp < 0xD800) | (cp > 0xDFFF)), 3, np.where(four & (cp >= 0x10000) & (cp <= 0x10FFFF), 4, 0)))
+        good = n > 0
+        out.append((at[good], n[good], cp[good].astype(np.uint32)))
+    return out
+
+
+def _rows_with(flat: np.ndarray, starts: np.ndarray, found: list) -> np.ndarray:
+    """Texts that hold a decodable sequence or a lost character."""
+    lost = np.flatnonzero((flat == LOST) | ((flat >= 0x80) & (flat < 0xA0)))
+    hits = np.concatenate([lost, *(at for at, _, _ in found)])
+    out = np.zeros(len(starts), dtype=bool)
+    out[np.searchsorted(starts, hits, side="right") - 1] = True
+    return out
 
 
 def _class_table() -> np.ndarray:
@@ -94,8 +120,10 @@ def classes(flat: np.ndarray) -> np.ndarray:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat, _ = flatten(column(batch, "text"))
+        flat, starts = flatten(column(batch, "text"))
         at = np.flatnonzero(flat >= 0x80)
+        garbled = _rows_with(flat, starts, sequences(flat))
+        at = at[~garbled[np.searchsorted(starts, at, side="right") - 1]]
         key = classes(flat[at - 1]).astype(np.int64) << 32 | flat[at]
         values, counts = np.unique(key, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], names=["key", "n"])
@@ -104,7 +132,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def clean_counts(texts: DataFrame) -> tuple[dict[int, int], int]:
     """How often each character beyond ASCII follows each class, over all clean ``texts`` (column
     ``text``), and the number of all their characters. The result is bounded by the alphabet."""
-    plain = texts.filter(F.col("text").isNotNull() & (F.octet_length("text") != F.length("text")) & ~suspicious(F.col("text")))
+    plain = texts.filter(F.col("text").isNotNull() & (F.octet_length("text") != F.length("text")))
     counted = plain.select("text").mapInArrow(_count_batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 1
     return {r.key: r.n for r in counted.collect()}, total
@@ -145,6 +173,15 @@ class Labeller:
 
     def _once(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         flat, starts = flatten(texts)
+        found_at = sequences(flat)
+        some = np.flatnonzero(_rows_with(flat, starts, found_at))
+        if len(some) < len(texts):
+            found, out = np.zeros(len(texts), dtype=bool), list(texts)
+            if len(some):
+                found[some], fixed = self._once([texts[i] for i in some.tolist()])
+                for i, x in zip(some.tolist(), fixed):
+                    out[i] = x
+            return found, out
         size, before = len(flat), np.concatenate(([0], classes(flat)[:-1]))
         ends = np.concatenate((starts[1:] - 1, [size - 1]))
         high = flat >= 0x80
@@ -157,37 +194,25 @@ class Labeller:
         special = high[symbol]
         lost = (flat == LOST) | ((flat >= 0x80) & (flat < 0xA0))
         emit[:, 0] = np.where(special, np.where(lost[symbol], IMPOSSIBLE, self.clean(before[symbol], flat[symbol])), 0)
-        decoded, length = [], []
-        for k, table in enumerate(BYTES):
-            b = np.concatenate((table[np.minimum(flat, 0xFFFF)], [NONE] * 3)).astype(np.int32)
-            if k < 2:  # a no-break space after the lead of an accented letter became a plain one
-                b[1:][(b[1:] == 0x20) & (b[:-1] == 0xC3)] = 0xA0
-            tail = (b >= 0x80) & (b <= 0xBF)
-            b0, b1, b2, b3 = b[:size], b[1 : size + 1], b[2 : size + 2], b[3 : size + 3]
-            t1, t2, t3 = tail[1 : size + 1], tail[2 : size + 2], tail[3 : size + 3]
-            two = (b0 >= 0xC2) & (b0 <= 0xDF) & t1
-            three = (b0 >= 0xE0) & (b0 <= 0xEF) & t1 & t2
-            four = (b0 >= 0xF0) & (b0 <= 0xF4) & t1 & t2 & t3
-            cp = np.where(two, (b0 & 31) << 6 | b1 & 63, np.where(three, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63))
-            n = np.where(two & (cp >= 0x80), 2, np.where(three & (cp >= 0x800), 3, np.where(four & (cp >= 0x10000) & (cp <= 0x10FFFF), 4, 0)))
-            inside = np.zeros(size + 4, dtype=bool)
+        of = np.full(size + 4, -1, dtype=np.int64)  # the symbol of each position
+        of[symbol] = np.arange(len(symbol))
+        for k, (at, n, cp) in enumerate(found_at):
+            emit[special, 1 + k] = IMPOSSIBLE
             for d in (1, 2, 3):
-                inside[np.flatnonzero(n > d) + d] = True
-            value = np.where(n[symbol] > 0, self.clean(before[symbol], cp[symbol].astype(np.uint32)), np.where(inside[symbol], 0.0, IMPOSSIBLE))
-            emit[:, 1 + k] = np.where(special, value, 0)
-            decoded.append(cp)
-            length.append(n)
+                inner = of[at[n > d] + d]
+                inner = inner[inner >= 0]
+                emit[inner[special[inner]], 1 + k] = 0
+            emit[of[at], 1 + k] = self.clean(before[at], cp)
         emit[:, -1] = np.where(special, np.where(lost[symbol], -3.0, IMPOSSIBLE), 0)
         state = self._viterbi(emit, row, len(texts))
         found = np.zeros(len(texts), dtype=bool)
         found[row[special & (state > 0)]] = True
         keep, new = np.ones(size, dtype=bool), flat.copy()
-        for k in range(len(ENCODINGS)):
-            at = symbol[special & (state == 1 + k)]
-            at = at[length[k][at] > 0]
-            new[at] = decoded[k][at]
+        for k, (at, n, cp) in enumerate(found_at):
+            mine = state[of[at]] == 1 + k
+            new[at[mine]] = cp[mine]
             for d in (1, 2, 3):
-                keep[at[length[k][at] > d] + d] = False
+                keep[at[mine & (n > d)] + d] = False
         moved = np.concatenate(([0], np.cumsum(keep)))
         return found, unflatten(new[keep], moved[starts], moved[ends])
 
