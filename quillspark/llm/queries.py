@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encoding, leaks, packing, pairs, repeated_lines, splitting, tables
+from quillspark.llm import canonical, encoding, leaks, packing, pairs, repeated_lines, scans, splitting, tables
 from quillspark.session import stored
 
 
@@ -39,6 +39,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(spark.read.parquet(f"{d}/generation_results.parquet"), _documents(spark, d))
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = tables.pages(spark, d).filter("raw_text IS NOT NULL")
+    scanned = rows.filter("extraction_library = 'pytesseract'").select("page_key", "document_id", "document_name", "page_number", F.col("raw_text").alias("text"))
+    return scanned, rows.filter("extraction_library <> 'pytesseract'").select(F.col("raw_text").alias("text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noisy lines of scanned pages."""
+    return scans.noise(*_scanned(spark, d))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned pages as continuous paragraphs."""
+    return scans.repaired(*_scanned(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that contain wrongly decoded characters."""
     found = encoding.garbled_texts(tables.records(spark, d), ["table_name", "record_key"])
@@ -77,7 +93,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_documents(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p5_found, p5_restored, p6_containers, p6_fill, p7_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p4_found, p4_repaired, p5_found, p5_restored, p6_containers, p6_fill, p7_found, p8_pieces)}
 _LINES = """
 WITH pages AS (
   SELECT page_key, any_value(document_id) AS document_id, any_value(raw_text) AS t FROM pages_df
