@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import ordered as O
+from quillspark.operators import sections as S
 from quillspark.plans.registry import query, table
 
 _WS = r"[ \t\n\x0b\f\r\x{a0}]+"
@@ -156,7 +158,7 @@ def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(len({0}) - 6, 1)), lambda i: array_to_string(list_slice({0}, i, i + 7), ' ')))"
 
 
-@query(rf"""WITH t AS (SELECT chunk_id, document_id, regexp_extract_all(lower(chunk_text), '[a-z0-9]+') AS w, lag(regexp_extract_all(lower(chunk_text), '[a-z0-9]+')) OVER (PARTITION BY document_id ORDER BY chunk_id) AS p FROM {_CHUNKS}),
+@query(rf"""WITH t AS (SELECT chunk_id, document_id, regexp_extract_all(lower(chunk_text), '[a-z0-9]+') AS w, lag(regexp_extract_all(lower(chunk_text), '[a-z0-9]+')) OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS p FROM {_CHUNKS}),
 s AS (SELECT chunk_id, document_id, {_SHINGLES.format('w')} AS a, {_SHINGLES.format('p')} AS b FROM t WHERE p IS NOT NULL)
 SELECT document_id, count(*) AS pairs, round(max(len(list_intersect(a, b)) / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1)), 6) AS most_alike,
   count(*) FILTER (len(list_intersect(a, b)) / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1) >= 0.85) AS near FROM s GROUP BY document_id""")
@@ -165,8 +167,8 @@ def near_dup_adjacent(spark: SparkSession, d: str) -> DataFrame:
     w = F.regexp_extract_all(F.lower("chunk_text"), F.lit("[a-z0-9]+"), F.lit(0))
     n = F.greatest(F.size("w") - 7, F.lit(0))
     runs = F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, 8), " "))).otherwise(F.expr("cast(array() AS array<string>)")))
-    rows = chunks(spark, d).select("chunk_id", "document_id", w.alias("w")).select("chunk_id", "document_id", runs.alias("a"))
-    rows = rows.withColumn("b", F.lag("a").over(W.partitionBy("document_id").orderBy("chunk_id"))).filter("b IS NOT NULL")
+    rows = chunks(spark, d).select("chunk_id", "document_id", "page_start", w.alias("w")).select("chunk_id", "document_id", "page_start", runs.alias("a"))
+    rows = O.beside(O.blocked(rows, "page_start"), "document_id", ["page_start", "chunk_id"], F.col("a"), "b", back=True).filter("b IS NOT NULL")
     shared = F.size(F.array_intersect("a", "b"))
     alike = shared / F.greatest(F.size("a") + F.size("b") - shared, F.lit(1))
     return rows.withColumn("alike", alike).groupBy("document_id").agg(F.count("*").alias("pairs"), F.round(F.max("alike"), 6).alias("most_alike"), F.count_if(F.col("alike") >= 0.85).alias("near"))
@@ -309,13 +311,15 @@ def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("document_id").agg(F.count("*").alias("answerable"), F.count_distinct("chunk_id").alias("chunks"), F.round(F.avg((F.col("page_end") > F.col("page_start")).cast("int")), 6).alias("multipage"), F.count_distinct(F.when(F.col("page_start") == F.col("page_number"), F.col("chunk_id"))).alias("by_first_page"))
 
 
-@query(f"""WITH c AS (SELECT document_id, chunk_id, anchor_kind, anchor_label, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS seq FROM {_CHUNKS})
-SELECT chunk_id, seq, last_value(CASE WHEN anchor_kind = 'section' THEN anchor_label END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS section, lead(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_id) AS next_chunk FROM c""")
+@query(f"""SELECT chunk_id, row_number() OVER w AS seq, last_value(CASE WHEN anchor_kind = 'section' THEN anchor_label END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_start, chunk_id ROWS UNBOUNDED PRECEDING) AS section,
+  lead(chunk_id) OVER w AS next_chunk FROM {_CHUNKS} WINDOW w AS (PARTITION BY document_id ORDER BY page_start, chunk_id)""")
 def enclosing_section(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk's place in its document, the last section begun before it, and the chunk after it."""
-    w = W.partitionBy("document_id").orderBy("chunk_id")
-    filled = F.last(F.when(F.col("anchor_kind") == "section", F.col("anchor_label")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return chunks(spark, d).select("chunk_id", F.row_number().over(w).cast("long").alias("seq"), filled.alias("section"), F.lead("chunk_id").over(w).alias("next_chunk"))
+    order = ["page_start", "chunk_id"]
+    rows = O.blocked(chunks(spark, d).select("chunk_id", "document_id", "page_start", "anchor_kind", "anchor_label"), "page_start")
+    rows = O.carried(rows, "document_id", order, F.when(F.col("anchor_kind") == "section", F.col("anchor_label")), "section")
+    rows = O.beside(rows, "document_id", order, F.col("chunk_id"), "next_chunk", back=False)
+    return O.numbered(rows, "document_id", order).select("chunk_id", "seq", "section", "next_chunk")
 
 
 @query(f"SELECT document_id, {', '.join(f'''count(*) FILTER (anchor_kind = '{k}') AS {k}''' for k in ('recommendation', 'section', 'page'))} FROM {_CHUNKS} GROUP BY document_id")
@@ -338,23 +342,29 @@ def payload_nulls(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.inline(F.array(*[F.col(c) for c in _REQUIRED + _OPTIONAL])))
 
 
-@query(f"SELECT document_id, sha256(string_agg(chunk_id || chr(10), '' ORDER BY chunk_id)) AS digest, count(*) AS n FROM {_CHUNKS} GROUP BY document_id")
+@query(f"""WITH b AS (SELECT document_id, page_start // 64 AS block, sha256(string_agg(chunk_id || chr(10), '' ORDER BY page_start, chunk_id)) AS digest, count(*) AS n FROM {_CHUNKS} GROUP BY ALL)
+SELECT document_id, sha256(string_agg(digest || chr(10), '' ORDER BY block)) AS digest, sum(n)::BIGINT AS n FROM b GROUP BY document_id""")
 def ordered_id_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Order-sensitive digest of each document's chunk ids."""
-    ids = F.array_sort(F.collect_list("chunk_id"))
-    return chunks(spark, d).groupBy("document_id").agg(F.sha2(F.concat(F.array_join(ids, "\n"), F.lit("\n")), 256).alias("digest"), F.count("*").alias("n"))
-
-
-@query(f"""WITH a AS (SELECT document_id, chunk_id, md5(chunk_text) AS t, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS pos FROM {_CHUNKS}),
-b AS (SELECT document_id, chunk_id, md5(coalesce(source_excerpt, '')) AS t, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS pos FROM {_CHUNKS} WHERE content_type = 'clinical')
+    """Order-sensitive digest of each document's chunk ids: of the digests of its blocks of pages, so that no
+    document's ids are collected whole."""
+    text = lambda c: F.sha2(F.concat(F.array_join(c, "\n"), F.lit("\n")), 256)
+    rows = O.blocked(chunks(spark, d).select("document_id", "page_start", "chunk_id"), "page_start")
+    inner = rows.groupBy("document_id", "block").agg(F.array_sort(F.collect_list(F.struct("page_start", "chunk_id"))).alias("ids"))
+    per = inner.select("document_id", "block", text(F.col("ids.chunk_id")).alias("digest"), F.size("ids").alias("n"))
+    outer = per.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("parts"), F.sum("n").alias("n"))
+    return outer.select("document_id", text(F.col("parts.digest")).alias("digest"), "n")
+
+
+@query(f"""WITH a AS (SELECT document_id, chunk_id, md5(chunk_text) AS t, row_number() OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS pos FROM {_CHUNKS}),
+b AS (SELECT document_id, chunk_id, md5(coalesce(source_excerpt, '')) AS t, row_number() OVER (PARTITION BY document_id ORDER BY page_start, chunk_id) AS pos FROM {_CHUNKS} WHERE content_type = 'clinical')
 SELECT coalesce(a.document_id, b.document_id) AS document_id, count(*) FILTER (a.chunk_id IS NULL OR b.chunk_id IS NULL) AS missing, count(*) FILTER (a.chunk_id <> b.chunk_id) AS other_id, count(*) FILTER (a.t <> b.t) AS other_text
   FROM a FULL JOIN b ON a.document_id = b.document_id AND a.pos = b.pos GROUP BY 1""")
 def reproducibility(spark: SparkSession, d: str) -> DataFrame:
     """A stored selection against one made anew, position by position."""
-    w = W.partitionBy("document_id").orderBy("chunk_id")
-    rows = chunks(spark, d)
-    a = rows.select("document_id", F.row_number().over(w).alias("pos"), F.col("chunk_id").alias("ia"), F.md5("chunk_text").alias("ta"))
-    b = rows.filter("content_type = 'clinical'").select("document_id", F.row_number().over(w).alias("pos"), F.col("chunk_id").alias("ib"), F.md5(F.coalesce("source_excerpt", F.lit(""))).alias("tb"))
+    rows = O.blocked(chunks(spark, d).select("document_id", "page_start", "chunk_id", "chunk_text", "source_excerpt", "content_type"), "page_start")
+    number = lambda df: O.numbered(df, "document_id", ["page_start", "chunk_id"], "pos")
+    a = number(rows).select("document_id", "pos", F.col("chunk_id").alias("ia"), F.md5("chunk_text").alias("ta"))
+    b = number(rows.filter("content_type = 'clinical'")).select("document_id", "pos", F.col("chunk_id").alias("ib"), F.md5(F.coalesce("source_excerpt", F.lit(""))).alias("tb"))
     both = a.join(b, ["document_id", "pos"], "full_outer")
     return both.groupBy("document_id").agg(F.count_if(F.col("ia").isNull() | F.col("ib").isNull()).alias("missing"), F.count_if(F.col("ia") != F.col("ib")).alias("other_id"), F.count_if(F.col("ta") != F.col("tb")).alias("other_text"))
 
@@ -424,3 +434,34 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     refused = line.rlike(r"\.{4,}|(\.[ \t]){4,}|\bet al\b|doi:|Available at:|[;]|[,;:]\s*$|\.\s+[A-Z]") | (F.length("line") - F.length(F.replace("line", F.lit(","), F.lit(""))) >= 2) | (F.size(F.split(F.trim("line"), " ")) > 13)
     kind = F.when(recommendation, "recommendation").when(line.rlike(r"^#{1,6}\s+\S"), "heading").when(shape & ~refused, "section")
     return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), kind.alias("kind"), F.trim("line").alias("label")).filter("kind IS NOT NULL")
+
+
+def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """One text per page: that of its last run."""
+    rows = table(spark, d, "pages_df").groupBy("document_id", "page_number").agg(F.max_by("raw_text", F.struct("page_key", "ingested_at")).alias("text"))
+    return rows.select("document_id", "page_number", "text")
+
+
+_OWN = r"""WITH p AS (SELECT document_id, page_number, arg_max(coalesce(raw_text, ''), page_key) AS t FROM pages_df GROUP BY ALL),
+f AS (SELECT document_id, page_number, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS l FROM p),
+o AS (SELECT document_id, page_number, CASE WHEN regexp_matches(l, '^[A-Z]') AND NOT regexp_matches(l, '[.,;:?!-]$') AND length(l) <= 45 AND len(string_split(l, ' ')) <= 6 THEN l END AS own FROM f),
+c AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS title, last_value(CASE WHEN own IS NOT NULL THEN page_number END IGNORE NULLS) OVER w AS at_page FROM o WINDOW w AS (PARTITION BY document_id ORDER BY page_number ROWS UNBOUNDED PRECEDING))
+SELECT document_id, page_number, CASE WHEN page_number - at_page <= 5 THEN title END AS section, CASE WHEN own IS NOT NULL THEN 'detected' WHEN page_number - at_page <= 5 THEN 'inherited' ELSE 'unknown' END AS section_source FROM c"""
+
+
+@query(_OWN)
+def section_state(spark: SparkSession, d: str) -> DataFrame:
+    """The section each page is in, carried for up to five pages."""
+    return S.carried_sections(_page_texts(spark, d)).drop("text")
+
+
+@query()
+def atomic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages cut anew into chunks along their structure."""
+    return S.atomic_chunks(_page_texts(spark, d))
+
+
+@query()
+def page_buffer_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages cut anew into chunks by packing pages."""
+    return S.page_buffer_chunks(S.carried_sections(_page_texts(spark, d)))
