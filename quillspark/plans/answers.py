@@ -223,7 +223,7 @@ def evidence_card(spark: SparkSession, d: str) -> DataFrame:
     return results(spark, d).select("result_id", F.concat("query", F.lit("\n"), F.coalesce(F.array_join(each, "\n"), F.lit(""))).alias("rendered"))
 
 
-@query(f"""WITH t AS (SELECT session_id, created_at, result_id, epoch_ms(created_at) - epoch_ms(lag(created_at) OVER w) AS gap FROM {_RESULTS} WINDOW w AS (PARTITION BY session_id ORDER BY created_at, result_id))
+@query(f"""WITH t AS (SELECT session_id, created_at, result_id, epoch_us(created_at) // 1000 - epoch_us(lag(created_at) OVER w) // 1000 AS gap FROM {_RESULTS} WINDOW w AS (PARTITION BY session_id ORDER BY created_at, result_id))
 SELECT session_id, count(*) AS n, count(*) FILTER (gap > 86400000) AS pauses, coalesce(max(gap), 0) AS longest_ms FROM t GROUP BY session_id""")
 def session_pauses(spark: SparkSession, d: str) -> DataFrame:
     """Pauses of more than a day inside sessions."""
