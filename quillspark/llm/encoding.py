@@ -2,8 +2,8 @@
 
 A hidden Markov model has one clean state and one state per encoding pair (UTF-8 bytes read in a
 single-byte encoding), plus a state for characters that are lost. A character's emission in the clean
-state is its probability after the class of the character before it, counted over all texts that hold
-no decodable sequence. In a pair's state, a sequence that decodes to one character has that
+state is its probability after the class of the character before it, counted over all characters that are
+in no decodable sequence. In a pair's state, a sequence that decodes to one character has that
 character's clean probability, and anything else nearly none. Viterbi labels the characters; each
 labelled span is put through its state's inverse, again until nothing changes (text garbled twice).
 
@@ -26,8 +26,9 @@ ENCODINGS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp8
 LOST = 0xFFFD
 NONE = 999
 #: Log probabilities of changing state, per symbol; a run of ASCII is one symbol.
-ENTER, LEAVE, STAY, SWITCH = np.log(1e-5), np.log(0.1), np.log(0.9), np.log(1e-7)
-FLOOR = 1e-10
+ENTER, LEAVE, STAY, SWITCH = np.log(1e-4), np.log(0.3), np.log(0.7), np.log(1e-6)
+#: Share of a character after a class it was never met behind, of its share overall; least probability.
+BACKOFF, FLOOR = 1e-5, 1e-11
 IMPOSSIBLE = -60.0
 ROUNDS = 3
 
@@ -120,18 +121,20 @@ def classes(flat: np.ndarray) -> np.ndarray:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat, starts = flatten(column(batch, "text"))
-        at = np.flatnonzero(flat >= 0x80)
-        garbled = _rows_with(flat, starts, sequences(flat))
-        at = at[~garbled[np.searchsorted(starts, at, side="right") - 1]]
+        flat, _ = flatten(column(batch, "text"))
+        plain = (flat >= 0xA0) & (flat != LOST)
+        for first, n, _ in sequences(flat):
+            for d in range(4):
+                plain[first[n > d] + d] = False
+        at = np.flatnonzero(plain)
         key = classes(flat[at - 1]).astype(np.int64) << 32 | flat[at]
         values, counts = np.unique(key, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
 
 def clean_counts(texts: DataFrame) -> tuple[dict[int, int], int]:
-    """How often each character beyond ASCII follows each class, over all clean ``texts`` (column
-    ``text``), and the number of all their characters. The result is bounded by the alphabet."""
+    """How often each character beyond ASCII follows each class, over all ``texts`` (column ``text``) outside
+    decodable sequences, and the number of all characters. The result is bounded by the alphabet."""
     plain = texts.filter(F.col("text").isNotNull() & (F.octet_length("text") != F.length("text")))
     counted = plain.select("text").mapInArrow(_count_batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 1
@@ -148,13 +151,22 @@ class Labeller:
         share = np.zeros((9, len(self.chars) + 1))
         for k, n in counts.items():
             share[k >> 32, place[k & 0xFFFFFFFF]] = n / total
-        self.score = np.log(share + 0.02 * share.sum(axis=0) + FLOOR)
+        self.score = np.log(share + BACKOFF * share.sum(axis=0) + FLOOR)
 
     def clean(self, before: np.ndarray, cp: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.chars, cp)
-        known = (at < len(self.chars)) & (self.chars[np.minimum(at, len(self.chars) - 1)] == cp)
+        at, known = self._place(cp)
         return np.where(cp < 0x80, -4.0, self.score[before, np.where(known, at, len(self.chars))])
 
+    def decoded(self, before: np.ndarray, cp: np.ndarray) -> np.ndarray:
+        """The same for a decoded character: one that the corpus doesn't know can only be the trace of a
+        second decoding."""
+        trace = (cp < 0x10000) & (BYTES[0][np.minimum(cp, 0xFFFF)] != NONE)
+        return np.where(self._place(cp)[1] | trace, self.clean(before, cp), IMPOSSIBLE)
+
+    def _place(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.chars, cp)
+        return at, (at < len(self.chars)) & (self.chars[np.minimum(at, len(self.chars) - 1)] == cp)
+
     def label(self, texts: list[str]) -> tuple[list[bool], list[str]]:
         """Whether each text holds wrongly decoded characters, and its restored form."""
         garbled = np.zeros(len(texts), dtype=bool)
@@ -194,6 +206,7 @@ class Labeller:
         special = high[symbol]
         lost = (flat == LOST) | ((flat >= 0x80) & (flat < 0xA0))
         emit[:, 0] = np.where(special, np.where(lost[symbol], IMPOSSIBLE, self.clean(before[symbol], flat[symbol])), 0)
+        inside = np.zeros(emit.shape, dtype=bool)  # within a sequence: a state can't begin there
         of = np.full(size + 4, -1, dtype=np.int64)  # the symbol of each position
         of[symbol] = np.arange(len(symbol))
         for k, (at, n, cp) in enumerate(found_at):
@@ -201,10 +214,10 @@ class Labeller:
             for d in (1, 2, 3):
                 inner = of[at[n > d] + d]
                 inner = inner[inner >= 0]
-                emit[inner[special[inner]], 1 + k] = 0
-            emit[of[at], 1 + k] = self.clean(before[at], cp)
+                emit[inner, 1 + k], inside[inner, 1 + k] = 0, True
+            emit[of[at], 1 + k], inside[of[at], 1 + k] = self.decoded(before[at], cp), False
         emit[:, -1] = np.where(special, np.where(lost[symbol], -3.0, IMPOSSIBLE), 0)
-        state = self._viterbi(emit, row, len(texts))
+        state = self._viterbi(emit, inside, row, len(texts))
         found = np.zeros(len(texts), dtype=bool)
         found[row[special & (state > 0)]] = True
         keep, new = np.ones(size, dtype=bool), flat.copy()
@@ -217,12 +230,13 @@ class Labeller:
         return found, unflatten(new[keep], moved[starts], moved[ends])
 
     @staticmethod
-    def _viterbi(emit: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    def _viterbi(emit: np.ndarray, inside: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """The best state of each symbol. Texts of similar length go together, one step for all."""
         states = emit.shape[1]
         move = np.full((states, states), SWITCH, dtype=np.float32)
         move[0, 1:], move[1:, 0], move[0, 0] = ENTER, LEAVE, 0
         move[np.arange(1, states), np.arange(1, states)] = STAY
+        barred = np.where(np.eye(states, dtype=bool), 0, 10 * IMPOSSIBLE).astype(np.float32)
         begin = np.searchsorted(row, np.arange(rows))
         sizes = np.searchsorted(row, np.arange(rows), side="right") - begin
         out = np.zeros(len(row), dtype=np.int8)
@@ -242,7 +256,7 @@ class Labeller:
             score = e[:, 0] + move[0]
             back = np.zeros((steps, len(group), states), dtype=np.int8)
             for t in range(1, steps):
-                through = score[:, :, None] + move
+                through = score[:, :, None] + move + inside[where[:, t] * valid[:, t]][:, None, :] * barred
                 back[t] = through.argmax(axis=1)
                 score = np.where(valid[:, t, None], through.max(axis=1) + e[:, t], score)
             state = score.argmax(axis=1)
