@@ -289,5 +289,6 @@ def garbled_texts(df: DataFrame, keys: list[str], model: tuple[dict[int, int], i
 
 def restored_texts(df: DataFrame, key: str) -> DataFrame:
     """Every row of ``df`` (unique ``key``, ``text``) with ``text`` restored where it was garbled."""
-    fixed = garbled_texts(df, [key])
-    return df.join(fixed, key, "left").select(*[F.coalesce("restored", "text").alias("text") if c == "text" else c for c in df.columns])
+    fixed = garbled_texts(df, [key]).select(F.col(key).alias("fixed key"), F.col("restored").alias("fixed text"))
+    joined = df.join(fixed, df[key] == fixed["fixed key"], "left")
+    return joined.select(*[F.coalesce(fixed["fixed text"], df["text"]).alias("text") if c == "text" else df[c] for c in df.columns])

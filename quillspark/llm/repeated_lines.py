@@ -82,7 +82,7 @@ def candidates(pages: DataFrame, sizes: DataFrame) -> DataFrame:
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """Lines of ``pages`` (page_key, document_id, text) that are repeated within their document:
     page_key, document_id, line_no (from 1), line (folded)."""
-    pages = pages.filter(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
+    pages = pages.select("page_key", "document_id", "text").filter(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
     sizes = stored(pages.select("document_id", "page_key").distinct().groupBy("document_id").agg(F.count("*").alias("pages")))
     few = broadcast_if_small(stored(candidates(pages, sizes)))
     lines = pages.select("page_key", "document_id", numbered_lines(F.col("text")).alias("pos", "raw"))
@@ -97,6 +97,7 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
 
 def clean_pages(pages: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """``pages`` (page_key, document_id, text), once each, without the repeated lines."""
+    pages = pages.select("page_key", "document_id", "text")
     found = repeated if repeated is not None else repeated_lines(pages)
     sets = stored(found.groupBy("document_id").agg(F.collect_set("line").alias("lines")))
     once = pages.dropDuplicates(["page_key"]).join(broadcast_if_small(sets), "document_id", "left")

@@ -57,10 +57,10 @@ def skeleton(text: Column) -> Column:
 def scanned_lines(pages: DataFrame) -> DataFrame:
     """Lines of scanned ``pages`` (page_key, document_id, document_name, page_number, text) with the one
     before and after, and whether they lie near an edge. Blank lines stay, for they end paragraphs."""
-    rows = pages.filter(F.length(F.trim("text")) > 0).dropDuplicates(["page_key"]).withColumn("lines", F.split("text", "\n"))
-    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.trim(F.get("lines", i))) > 0)
+    rows = pages.filter(F.col("text").rlike(r"\S")).dropDuplicates(["page_key"]).withColumn("lines", F.split("text", "\n"))
+    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"\S"))
     rows = rows.withColumn("filled", filled)
-    n = F.least(F.lit(EDGE), F.size("filled"))
+    n = F.greatest(F.least(F.lit(EDGE), F.size("filled")), F.lit(1))
     rows = rows.withColumn("edges", F.concat(F.slice("filled", F.lit(1), n), F.slice("filled", -n, n)))
     each = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.get("lines", i - 1).alias("before"), F.get("lines", i + 1).alias("after"), F.array_contains("edges", i).alias("edge")))
     return rows.select("page_key", "document_id", F.lower("document_name").alias("name"), "page_number", F.inline(each))
@@ -315,5 +315,5 @@ def repaired(pages: DataFrame, typed: DataFrame) -> DataFrame:
     heading = lambda r: (F.length(r["line"]) < 45) & r["line"].rlike(r"^\s*\p{Lu}[^.!?,;:]*[^.!?,;:\s-]\s*$") & (F.size(F.split(r["line"], " ")) <= 6)
     joined = F.aggregate("rows", F.lit(""), lambda acc, r: F.when(blank(r), F.concat(F.regexp_replace(acc, r"\s+$", ""), F.lit("\n\n"))).when(r["glue"], F.concat(acc, F.regexp_replace(F.ltrim(r["line"]), r"[-‐\x{ad}¬]\s*$", ""))).when(heading(r), F.concat(acc, F.trim(r["line"]), F.lit("\n\n"))).when(r["line"].rlike(r"\p{L}-\s*$"), F.concat(acc, F.trim(r["line"]))).otherwise(F.concat(acc, F.trim(r["line"]), F.lit(" "))))
     all_fixes = F.array_distinct(F.flatten(F.transform(F.filter("rows", lambda r: r["fixes"].isNotNull()), lambda r: r["fixes"])))
-    text = F.aggregate(all_fixes, F.trim(joined), lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["token"], F.lit(r"(?![\p{L}\p{N}])")), cased(x["token"], x["replacement"])))
+    text = F.aggregate(all_fixes, F.regexp_replace(joined, r"^\s+|\s+$", ""), lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["token"], F.lit(r"(?![\p{L}\p{N}])")), cased(x["token"], x["replacement"])))
     return per_page.select("page_key", text.alias("text"))
