@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed values that results depend on.
 LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"')]
-BLANKED = "–—−≥≤‡† "
+BLANKED = "\u2013\u2014\u2212\u2265\u2264\u2021\u2020\xa0"
 MISSING = ["", "nan", "none", "null", "<na>", "n/a"]
 DOT_LEADER = r"\.{6,}|(?:\.[ \t]){6,}"
 REFERENCE_SECTION = r"(?i)^\s*(references|bibliography|acknowledg|disclosure|conflict of interest)"

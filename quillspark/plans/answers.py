@@ -86,7 +86,8 @@ def _pol(c: str) -> str:
 @query(f"WITH p AS (SELECT content_type, {_pol('s')} AS polarity FROM (SELECT content_type, {cmp_sql('chunk_text')} AS s FROM {_CHUNKS})) SELECT content_type, polarity, count(*) AS n FROM p GROUP BY ALL")
 def polarity_scan(spark: SparkSession, d: str) -> DataFrame:
     """Stance of chunks: a negated stance dominates."""
-    return chunks(spark, d).select("content_type", T.polarity(F.col("chunk_text")).alias("polarity")).groupBy("content_type", "polarity").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "chunks").select("chunk_id", "content_type", T.polarity(F.col("chunk_text")).alias("polarity"))
+    return rows.dropDuplicates(["chunk_id"]).groupBy("content_type", "polarity").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH j AS (SELECT e.result_id, e.pos, {cmp_sql('e.claim')} AS a, {cmp_sql('e.excerpt')} AS b FROM {_EVIDENCE} e WHERE claim IS NOT NULL AND excerpt IS NOT NULL),

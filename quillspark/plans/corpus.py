@@ -73,7 +73,8 @@ SELECT page_key, CASE WHEN n = 0 THEN 'image_only' WHEN lost >= 12 AND lost / n
   WHEN toc OR bars >= 3 OR bars / greatest(filled, 1) >= 0.4 THEN CASE WHEN n < 80 THEN 'low_text' ELSE 'ok' END
   WHEN n >= 80 AND 1 - alnum >= 0.65 THEN 'corrupted' WHEN n < 80 THEN 'low_text' ELSE 'ok' END AS status FROM m""")
 def extraction_status(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_key", T.extraction_status(F.col("raw_text")).alias("status"))
+    # Judged before deliveries are made one, so that only keys and labels are shuffled.
+    return once(table(spark, d, "pages_df").select("page_key", T.extraction_status(F.col("raw_text")).alias("status")), "page_key")
 
 
 def _sq(s: str) -> str:
@@ -94,13 +95,14 @@ SELECT chunk_id, CASE WHEN b = '' THEN 'boilerplate' WHEN leaders / greatest(com
 
 @query(_CONTENT)
 def content_class(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("chunk_id", T.content_type(F.col("chunk_text"), F.col("section_title")).alias("kind"))
+    return once(table(spark, d, "chunks").select("chunk_id", T.content_type(F.col("chunk_text"), F.col("section_title")).alias("kind")), "chunk_id")
 
 
 @query(f"SELECT k.kind, c.content_type, count(*) AS n FROM ({_CONTENT}) k JOIN {_CHUNKS} c USING (chunk_id) GROUP BY CUBE (k.kind, c.content_type)")
 def content_class_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Computed against stored content type, with all subtotals."""
-    return chunks(spark, d).select(T.content_type(F.col("chunk_text"), F.col("section_title")).alias("kind"), "content_type").cube("kind", "content_type").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "chunks").select("chunk_id", T.content_type(F.col("chunk_text"), F.col("section_title")).alias("kind"), "content_type")
+    return once(rows, "chunk_id").cube("kind", "content_type").agg(F.count("*").alias("n"))
 
 
 _INVALID = rf"""SELECT chunk_id, list_filter([CASE WHEN document_id = '' OR document_id IS NULL THEN 'missing document_id' END, CASE WHEN page_number IS NULL THEN 'missing page_number' END,
@@ -126,27 +128,28 @@ def _issues(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT chunk_id, array_to_string(issues, '; ') AS issues FROM ({_INVALID}) WHERE len(issues) > 0")
 def chunk_quality(spark: SparkSession, d: str) -> DataFrame:
-    return _issues(chunks(spark, d)).filter(F.size("issues") > 0).select("chunk_id", F.array_join("issues", "; ").alias("issues"))
+    bad = _issues(table(spark, d, "chunks")).filter(F.size("issues") > 0)
+    return once(bad.select("chunk_id", F.array_join("issues", "; ").alias("issues")), "chunk_id")
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (len(issues) = 0) AS valid, count(*) FILTER (len(issues) > 0) AS invalid, CASE WHEN count(*) FILTER (len(issues) > 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({_INVALID})")
 def chunk_quality_report(spark: SparkSession, d: str) -> DataFrame:
     bad = F.size("issues") > 0
-    return _issues(chunks(spark, d)).agg(F.count("*").alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), F.when(F.count_if(bad) == 0, "PASS").otherwise("FAIL").alias("status"))
+    return once(_issues(table(spark, d, "chunks")).select("chunk_id", "issues"), "chunk_id").agg(F.count("*").alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), F.when(F.count_if(bad) == 0, "PASS").otherwise("FAIL").alias("status"))
 
 
 @query(f"""SELECT chunk_id, document_id, token_count FROM {_CHUNKS} WHERE trim(chunk_text) <> '' AND NOT contains(chunk_text, '���') AND content_type NOT IN ('reference', 'toc', 'boilerplate', 'title_only')
   AND lower(trim(document_type)) IN ('official guideline', 'government/public health recommendation') AND chunk_id NOT IN (SELECT chunk_id FROM ({_INVALID}) WHERE len(issues) > 0)""")
 def embeddable_filter(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that go into the index: valid, informative, from guidelines."""
-    rows = chunks(spark, d)
+    rows = table(spark, d, "chunks")
     good = rows.filter((F.trim("chunk_text") != "") & ~F.col("chunk_text").contains("���") & ~F.col("content_type").isin("reference", "toc", "boilerplate", "title_only") & F.lower(F.trim("document_type")).isin("official guideline", "government/public health recommendation"))
-    return _issues(good).filter(F.size("issues") == 0).select("chunk_id", "document_id", "token_count")
+    return once(_issues(good).filter(F.size("issues") == 0).select("chunk_id", "document_id", "token_count"), "chunk_id")
 
 
 @query(rf"SELECT md5(trim(regexp_replace(chunk_text, '[ \t\n\x0b\f\r\x{{a0}}]+', ' ', 'g'))) AS digest, count(*) AS copies, count(DISTINCT document_id) AS documents, min(chunk_id) AS first_chunk FROM {_CHUNKS} GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("chunk_id", "document_id", F.md5(T.squashed(F.col("chunk_text"))).alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"), F.count_distinct("document_id").alias("documents"), F.min("chunk_id").alias("first_chunk")).filter("copies > 1")
+    return once(table(spark, d, "chunks").select("chunk_id", "document_id", F.md5(T.squashed(F.col("chunk_text"))).alias("digest")), "chunk_id").groupBy("digest").agg(F.count("*").alias("copies"), F.count_distinct("document_id").alias("documents"), F.min("chunk_id").alias("first_chunk")).filter("copies > 1")
 
 
 @query(r"SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS kept FROM documents WHERE text IS NOT NULL GROUP BY 1")
