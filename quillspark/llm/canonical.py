@@ -245,13 +245,13 @@ def same_looking(df: DataFrame) -> DataFrame:
 def look_alike_pairs(members: DataFrame) -> DataFrame:
     """Pairs of records that look the same and are stored differently, smaller key first.
 
-    Exact copies alone drop out before any pair is made: pairs are of stored variants, and only those
-    are expanded to their records. Both joins are by digest, which adaptive execution splits.
+    Pairs are first made of stored variants of one form, then each side is expanded to its records, so exact
+    copies, however many, never meet each other. All joins are by digest, which adaptive execution splits.
     """
     variants = members.select("table_name", "form", "stored").distinct()
-    several = variants.groupBy("table_name", "form").agg(F.count("*").alias("n")).filter("n > 1").select("table_name", "form")
-    kept = members.join(several, ["table_name", "form"], "left_semi")
-    a = kept.select("table_name", "form", F.col("record_key").alias("a"), F.col("stored").alias("sa"))
-    b = kept.select("table_name", "form", F.col("record_key").alias("b"), F.col("stored").alias("sb"))
-    pairs = a.join(b, ["table_name", "form"]).filter((F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb")))
-    return pairs.select("table_name", F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+    other = variants.select("table_name", "form", F.col("stored").alias("second"))
+    differ = variants.withColumnRenamed("stored", "first").join(other, ["table_name", "form"]).filter("first < second").drop("form")
+    a = members.select("table_name", F.col("stored").alias("first"), F.col("record_key").alias("a"))
+    b = members.select("table_name", F.col("stored").alias("second"), F.col("record_key").alias("b"))
+    pairs = differ.join(a, ["table_name", "first"]).join(b, ["table_name", "second"])
+    return pairs.select("table_name", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))

@@ -59,3 +59,11 @@ def test_column_keeps_nulls_and_length(spark):
     df = spark.createDataFrame([(None,), ("",), ("x" * 100_000 + "а",)], "t string")
     got = [r.t for r in df.select(C.canonical_text(F.col("t")).alias("t")).collect()]
     assert got == [None, "", "x" * 100_000 + "a"]
+
+
+def test_many_copies_meet_only_other_variants(spark):
+    rows = [("chunks", f"k{i:04d}", "word") for i in range(3000)] + [("chunks", "z", "wоrd")]
+    df = spark.createDataFrame(rows, "table_name string, record_key string, text string")
+    members = C.same_looking(df)
+    got = C.look_alike_pairs(members).collect()
+    assert len(got) == 3000 and {r.key_b for r in got} == {"z"}
