@@ -218,9 +218,10 @@ def numeric_bag_loss(spark: SparkSession, d: str) -> DataFrame:
 @query(_LOSS + f", tot AS (SELECT sum(len(r))::BIGINT AS n FROM p) SELECT any_value(n) AS numbers, coalesce(sum(missing), 0)::BIGINT AS missing, round(coalesce(sum(missing), 0) / any_value(n), 6) AS loss, coalesce(sum(missing) FILTER (regexp_matches(t, '{T.CRITICAL}')), 0)::BIGINT AS critical FROM tot LEFT JOIN m ON true")
 def numeric_loss_report(spark: SparkSession, d: str) -> DataFrame:
     rows, missing = _numbers(spark, d)
-    total = rows.agg(F.sum(F.size(T.numeric_tokens(F.col("raw_text")))).alias("numbers"))
-    lost = missing.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(F.col("t").rlike(T.CRITICAL), F.col("missing"))), F.lit(0)).alias("critical"))
-    return total.join(lost).select("numbers", "missing", F.round(F.col("missing") / F.col("numbers"), 6).alias("loss"), "critical")  # one row each
+    total = rows.agg(F.sum(F.size(T.numeric_tokens(F.col("raw_text"))))).first()[0]
+    critical = F.coalesce(F.sum(F.when(F.col("t").rlike(T.CRITICAL), F.col("missing"))), F.lit(0))
+    lost = missing.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), critical.alias("critical"))
+    return lost.select(F.lit(total).cast("long").alias("numbers"), "missing", F.round(F.col("missing") / total, 6).alias("loss"), "critical")
 
 
 @query(f"""SELECT document_type, min(token_count)::BIGINT AS least, max(token_count)::BIGINT AS most, round(avg(token_count), 2) AS mean, quantile_cont(token_count, 0.5) AS median,
