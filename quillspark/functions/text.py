@@ -60,8 +60,9 @@ def compared(text: Column) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Words and decimal numbers, lower case, no stop words removed."""
-    for a, b in LIGATURES:
+    for a, b in LIGATURES[:5]:
         text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.translate(text, "".join(a for a, _ in LIGATURES[5:]), "".join(b for _, b in LIGATURES[5:]))
     return F.regexp_extract_all(F.lower(text), F.lit(LEXICAL), F.lit(0))
 
 

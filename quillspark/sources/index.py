@@ -20,32 +20,31 @@ from quillspark.functions.text import lexical_tokens
 TOKEN_LIMIT = 512
 
 
-def hashed_tokens(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
-    """A stand-in encoder: counts of hashed tokens. Any function from texts' tokens to rows may replace it."""
-
-    def encode(tokens: pd.Series) -> np.ndarray:
-        out = np.zeros((len(tokens), dim))
-        for i, words in enumerate(tokens):
-            for w in words if words is not None else ():
-                h = sum((k + 1) * 31 ** (k % 5) * ord(c) for k, c in enumerate(w))
-                out[i, h % dim] += 1 if h // dim % 2 else -1
-        return out
-
-    return encode
+def hashed(tokens: Column, dim: int) -> Column:
+    """The stand-in encoder's input: each token as a place among twice ``dim``, hashed by Spark."""
+    return F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
 
 
 def embedded(text: Column, encode: Callable[[pd.Series], np.ndarray] | None = None, dim: int = 64) -> Column:
-    """Unit vectors of a text column by an injected encoder; a text without tokens gets zeros."""
-    encode = encode or hashed_tokens(dim)
+    """Unit vectors of a text column; a text without tokens gets zeros. ``encode`` turns a series of token lists
+    into rows; without it, tokens are counted by hashed place and sign."""
+    tokens = lexical_tokens(F.coalesce(text, F.lit("")))
+
+    def count(places: pd.Series) -> np.ndarray:
+        both = np.stack([np.bincount(p, minlength=2 * dim) for p in places])
+        return (both[:, :dim] - both[:, dim:]).astype(np.float64)
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for tokens in batches:
-            rows = encode(tokens)
+        for batch in batches:
+            if not len(batch):
+                yield pd.Series([], dtype=object)
+                continue
+            rows = (encode or count)(batch)
             norm = np.linalg.norm(rows, axis=1, keepdims=True)
             yield pd.Series(list((rows / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
-    return run(lexical_tokens(F.coalesce(text, F.lit(""))))
+    return run(tokens if encode else hashed(tokens, dim))
 
 
 def guarded(chunks: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
