@@ -1,11 +1,13 @@
 """Problem 5: text that was decoded with a wrong character encoding.
 
 A hidden Markov model has one clean state and one state per encoding pair (UTF-8 bytes read in a
-single-byte encoding), plus a state for characters that are lost. A character's emission in the clean
-state is its probability after the class of the character before it, counted over all characters that are
-in no decodable sequence. In a pair's state, a sequence that decodes to one character has that
-character's clean probability, and anything else nearly none. Viterbi labels the characters; each
-labelled span is put through its state's inverse, again until nothing changes (text garbled twice).
+single-byte encoding, or single-byte text read in another single-byte encoding), plus a state for
+characters that are lost. A character's emission in the clean state is its probability after the class of
+the character before it, counted over all characters that are in no decodable sequence and not out of place
+in a Latin word. In a UTF-8 pair's state, a sequence that decodes to one character has that character's
+clean probability, and anything else nearly none; in a single-byte pair's state, every character has the
+clean probability of what its byte was. Viterbi labels the characters; each labelled span is put through
+its state's inverse, again until nothing changes (text garbled twice).
 
 Null and empty texts are clean. Text without a character outside ASCII never leaves the JVM.
 """
@@ -51,14 +53,30 @@ def _byte_of(encoding: str) -> np.ndarray:
 BYTES = [_byte_of(e) for e in ENCODINGS]
 
 
-#: What every text with a garbled or lost character matches (Java): two neighbours beyond ASCII out of the
-#: range that holds all characters of the encodings, a lost or control character, or the lead of an
-#: accented letter before a blank that was a no-break space.
-SUSPICIOUS = r"[\x{80}-\x{25ff}\x{f8ff}\x{fb01}\x{fb02}]{2}|[\x{80}-\x{9f}\x{fffd}]|\x{c3} "
+#: Single-byte text read in another single-byte encoding, as (true, read) places in ENCODINGS. Latin-1 is
+#: no true encoding of its own: its characters have the same bytes in cp1252.
+PAIRS = [(t, r) for t in range(len(ENCODINGS)) if ENCODINGS[t] != "latin-1" for r in range(len(ENCODINGS)) if t != r]
+
+
+def _transcoding(true: int, read: int) -> np.ndarray:
+    """For each code point beyond ASCII, the character that its byte in ``read`` is in ``true``; 0 for none."""
+    char = np.zeros(256, dtype=np.uint32)
+    for b in range(0x80, 256):
+        try:
+            char[b] = ord(bytes([b]).decode(ENCODINGS[true]))
+        except UnicodeDecodeError:
+            pass
+    byte = BYTES[read]
+    return np.where((byte >= 0x80) & (byte < 256), char[np.minimum(byte, 255)], 0).astype(np.uint32)
+
+
+TRANSCODED = [_transcoding(t, r) for t, r in PAIRS]
 
 
 def suspicious(text: Column) -> Column:
-    return (F.octet_length(text) != F.length(text)) & text.rlike(SUSPICIOUS)
+    """What every text with a garbled or lost character is: not all ASCII. A single wrong letter can be one that
+    other texts rightly hold, so only the model can tell."""
+    return F.octet_length(text) != F.length(text)
 
 
 def sequences(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,6 +133,22 @@ def _class_table() -> np.ndarray:
 CLASS = _class_table()
 
 
+#: Letters of other scripts that pass for Latin ones, and ligatures: found in words without wrong decoding.
+LOOK_ALIKE = np.isin(np.arange(0x10000), [ord(c) for c in "АВЕЅІЈКМНОРСТУХаеіјорсухѕԁһӏқвкмнтΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυικτγηѵԛԝµμβ"] + list(range(0xFB00, 0xFB07)))
+UPPER = np.array([chr(c).isupper() for c in range(0x10000)]) & ~LOOK_ALIKE
+FOREIGN = np.array([chr(c).isalpha() for c in range(0x10000)]) & (CLASS == 5) & ~LOOK_ALIKE
+
+
+def misplaced(flat: np.ndarray) -> np.ndarray:
+    """Where a capital beyond ASCII follows a small Latin letter, or a Greek or Cyrillic letter stands between
+    Latin ones: the traces of single-byte text read in another encoding."""
+    at = np.flatnonzero(flat >= 0x80)
+    near = np.minimum(flat[at], 0xFFFF)
+    before, after = classes(flat[at - 1]), classes(flat[np.minimum(at + 1, len(flat) - 1)])
+    latin = ((before == 3) | (before == 4)) & ((after == 3) | (after == 4))
+    return at[((before == 3) & UPPER[near]) | (latin & FOREIGN[near])]
+
+
 def classes(flat: np.ndarray) -> np.ndarray:
     return CLASS[np.minimum(flat, 0xFFFF)]
 
@@ -126,6 +160,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for first, n, _ in sequences(flat):
             for d in range(4):
                 plain[first[n > d] + d] = False
+        plain[misplaced(flat)] = False
         at = np.flatnonzero(plain)
         key = classes(flat[at - 1]).astype(np.int64) << 32 | flat[at]
         values, counts = np.unique(key, return_counts=True)
@@ -134,7 +169,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def clean_counts(texts: DataFrame) -> tuple[dict[int, int], int]:
     """How often each character beyond ASCII follows each class, over all ``texts`` (column ``text``) outside
-    decodable sequences, and the number of all characters. The result is bounded by the alphabet."""
+    decodable sequences and not misplaced, and the number of all characters. The result is bounded by the alphabet."""
     plain = texts.filter(F.col("text").isNotNull() & (F.octet_length("text") != F.length("text")))
     counted = plain.select("text").mapInArrow(_count_batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 1
@@ -163,6 +198,25 @@ class Labeller:
         trace = (cp < 0x10000) & (BYTES[0][np.minimum(cp, 0xFFFF)] != NONE)
         return np.where(self._place(cp)[1] | trace, self.clean(before, cp), IMPOSSIBLE)
 
+    def gains(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the characters beyond ASCII, and which of the distinct contexts each is in; of each context
+        the clean emission, and what each of PAIRS (rows) gains there: the emission of the transcoded character,
+        behind the transcoded one before it, less the clean."""
+        at = np.flatnonzero(flat >= 0x80)
+        own, last = np.minimum(flat[at], 0xFFFF).astype(np.int64), np.minimum(flat[at - 1], 0xFFFF).astype(np.int64)
+        key = np.where(last < 0x80, CLASS[last], last) << 16 | own
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        cps, own, last = flat[at[first]], own[first], last[first]
+        lost = (cps == LOST) | ((cps >= 0x80) & (cps < 0xA0))
+        clean = np.where(lost, IMPOSSIBLE, self.clean(CLASS[last], cps))
+        out = np.full((len(PAIRS), len(first)), IMPOSSIBLE)
+        for k, table in enumerate(TRANSCODED):
+            cp, prior = table[own], table[last]
+            place, known = self._place(cp)
+            before = CLASS[np.where(prior > 0, prior, last)]
+            out[k] = np.where(known & (cp > 0), self.score[before, np.where(known, place, 0)], IMPOSSIBLE)
+        return at, of, clean, out - clean
+
     def _place(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.chars, cp)
         return at, (at < len(self.chars)) & (self.chars[np.minimum(at, len(self.chars) - 1)] == cp)
@@ -186,7 +240,14 @@ class Labeller:
     def _once(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         flat, starts = flatten(texts)
         found_at = sequences(flat)
-        some = np.flatnonzero(_rows_with(flat, starts, found_at))
+        at, context, clean, gain = self.gains(flat)
+        better = np.flatnonzero((gain > 0).any(axis=0)[context])
+        holder = np.searchsorted(starts, at[better], side="right") - 1
+        # A single-byte pair that cannot gain what it costs to enter and leave its state is in no best path.
+        most = np.array([np.bincount(holder, weights=np.maximum(g, 0)[context[better]], minlength=len(texts)) for g in gain])
+        enough = most > -(ENTER + LEAVE)
+        active = np.flatnonzero(enough.any(axis=1))
+        some = np.flatnonzero(_rows_with(flat, starts, found_at) | enough.any(axis=0))
         if len(some) < len(texts):
             found, out = np.zeros(len(texts), dtype=bool), list(texts)
             if len(some):
@@ -201,7 +262,8 @@ class Labeller:
         first = high | (flat == 0) | np.concatenate(([True], high[:-1] | (flat[:-1] == 0)))
         symbol = np.flatnonzero(first & (flat != 0))
         row = np.searchsorted(starts, symbol, side="right") - 1
-        states = len(ENCODINGS) + 2
+        single = 1 + len(ENCODINGS)
+        states = single + len(active) + 1
         emit = np.zeros((len(symbol), states), dtype=np.float32)
         special = high[symbol]
         lost = (flat == LOST) | ((flat >= 0x80) & (flat < 0xA0))
@@ -209,34 +271,39 @@ class Labeller:
         inside = np.zeros(emit.shape, dtype=bool)  # within a sequence: a state can't begin there
         of = np.full(size + 4, -1, dtype=np.int64)  # the symbol of each position
         of[symbol] = np.arange(len(symbol))
-        for k, (at, n, cp) in enumerate(found_at):
+        for k, (begin, n, cp) in enumerate(found_at):
             emit[special, 1 + k] = IMPOSSIBLE
             for d in (1, 2, 3):
-                inner = of[at[n > d] + d]
+                inner = of[begin[n > d] + d]
                 inner = inner[inner >= 0]
                 emit[inner, 1 + k], inside[inner, 1 + k] = 0, True
-            emit[of[at], 1 + k], inside[of[at], 1 + k] = self.decoded(before[at], cp), False
+            emit[of[begin], 1 + k], inside[of[begin], 1 + k] = self.decoded(before[begin], cp), False
+        for k, pair in enumerate(active):
+            emit[of[at], single + k] = (clean + gain[pair])[context]
         emit[:, -1] = np.where(special, np.where(lost[symbol], -3.0, IMPOSSIBLE), 0)
         state = self._viterbi(emit, inside, row, len(texts))
         found = np.zeros(len(texts), dtype=bool)
         found[row[special & (state > 0)]] = True
         keep, new = np.ones(size, dtype=bool), flat.copy()
-        for k, (at, n, cp) in enumerate(found_at):
-            mine = state[of[at]] == 1 + k
-            new[at[mine]] = cp[mine]
+        for k, pair in enumerate(active):
+            mine = at[state[of[at]] == single + k]
+            cp = TRANSCODED[pair][np.minimum(flat[mine], 0xFFFF)]
+            new[mine] = np.where(cp > 0, cp, flat[mine])
+        for k, (begin, n, cp) in enumerate(found_at):
+            mine = state[of[begin]] == 1 + k
+            new[begin[mine]] = cp[mine]
             for d in (1, 2, 3):
-                keep[at[mine & (n > d)] + d] = False
+                keep[begin[mine & (n > d)] + d] = False
         moved = np.concatenate(([0], np.cumsum(keep)))
         return found, unflatten(new[keep], moved[starts], moved[ends])
 
     @staticmethod
     def _viterbi(emit: np.ndarray, inside: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """The best state of each symbol. Texts of similar length go together, one step for all."""
+        """The best state of each symbol. Texts of similar length go together, one step for all. A state other
+        than clean is reached from itself, from clean, or from the best of all others at one price."""
         states = emit.shape[1]
-        move = np.full((states, states), SWITCH, dtype=np.float32)
-        move[0, 1:], move[1:, 0], move[0, 0] = ENTER, LEAVE, 0
-        move[np.arange(1, states), np.arange(1, states)] = STAY
-        barred = np.where(np.eye(states, dtype=bool), 0, 10 * IMPOSSIBLE).astype(np.float32)
+        own = np.arange(states, dtype=np.int8)
+        enter, leave, stay, switch, barred = (np.float32(x) for x in (ENTER, LEAVE, STAY, SWITCH, 10 * IMPOSSIBLE))
         begin = np.searchsorted(row, np.arange(rows))
         sizes = np.searchsorted(row, np.arange(rows), side="right") - begin
         out = np.zeros(len(row), dtype=np.int8)
@@ -253,12 +320,19 @@ class Labeller:
             where = begin[group][:, None] + np.arange(steps)
             valid = np.arange(steps) < sizes[group][:, None]
             e = np.where(valid[..., None], emit[np.where(valid, where, 0)], 0)
-            score = e[:, 0] + move[0]
+            score = e[:, 0] + np.where(own == 0, np.float32(0), enter)
             back = np.zeros((steps, len(group), states), dtype=np.int8)
             for t in range(1, steps):
-                through = score[:, :, None] + move + inside[where[:, t] * valid[:, t]][:, None, :] * barred
-                back[t] = through.argmax(axis=1)
-                score = np.where(valid[:, t, None], through.max(axis=1) + e[:, t], score)
+                other = (1 + score[:, 1:].argmax(axis=1)).astype(np.int8)
+                best, clean = score[np.arange(len(group)), other], score[:, 0]
+                fresh = np.where(clean + enter >= best + switch, np.int8(0), other)[:, None]
+                price = np.maximum(clean + enter, best + switch)[:, None] + inside[where[:, t] * valid[:, t]] * barred
+                through = score + stay
+                back[t] = np.where(price >= through, fresh, own)
+                through = np.maximum(price, through)
+                back[t, :, 0] = np.where(clean >= best + leave, np.int8(0), other)
+                through[:, 0] = np.maximum(clean, best + leave)
+                score = np.where(valid[:, t, None], through + e[:, t], score)
             state = score.argmax(axis=1)
             for t in range(steps - 1, -1, -1):
                 live = valid[:, t]

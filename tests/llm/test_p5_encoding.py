@@ -52,3 +52,18 @@ def test_very_long(spark):
     long = CLEAN[3] * 3000
     rows = [(f"clean{i}", CLEAN[i % 6]) for i in range(60)] + [("long", garble(long, "cp1251"))]
     assert [r.restored for r in E.garbled_texts(frame(spark, rows), ["record_key"]).collect()] == [long]
+
+
+@pytest.mark.parametrize("true, read, word", [("latin-1", "mac_roman", "La ecografía confirmée des données"), ("cp1252", "cp437", "A evidência também préopératoire"), ("cp1251", "cp1252", "Пожилые люди")])
+def test_single_byte_text_read_in_another_encoding(spark, true, read, word):
+    rows = [(f"clean{i}", CLEAN[i % 6] + " La ecografía confirmée des données; a evidência também é préopératoire. Пожилые люди.") for i in range(120)]
+    bad = word.encode(true).decode(read)
+    got = {r.record_key: r.restored for r in E.garbled_texts(frame(spark, rows + [("bad", bad)]), ["record_key"]).collect()}
+    assert got == {"bad": word}
+
+
+def test_one_wrong_letter_alone(spark):
+    rows = [(f"clean{i}", CLEAN[i % 6] + " O tambores da pressão; una ecografía, la réponse. È vero, ΔP e Ω.") for i in range(120)]
+    rows += [("a", "A pressπo arterial"), ("b", "una ecografÌa normal"), ("c", "la rÈponse")]
+    got = {r.record_key: r.restored for r in E.garbled_texts(frame(spark, rows), ["record_key"]).collect()}
+    assert got == {"a": "A pressão arterial", "b": "una ecografía normal", "c": "la réponse"}
