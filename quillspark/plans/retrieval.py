@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import lexical_tokens
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import query, table
+from quillspark.session import broadcast_if_small, stored
+from quillspark.sources.index import embedded
 
 _SCORES = """
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
@@ -206,26 +208,39 @@ f AS (SELECT query_id, doc_id, CASE WHEN dh <= dl THEN 0 ELSE (dense - dl) / (dh
 """.format(t=_folded("coalesce(text, '')"))
 
 
-def _pool(spark: SparkSession, d: str, depth: int = 30) -> DataFrame:
-    """The union of the best of both searches, with both scores."""
+def _vectored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What _POOL searches: documents that have a row in embeddings, and the first twelve tokens of every fiftieth."""
     corpus = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = corpus.filter("doc_id % 50 = 0")
-    dense = R.dense_topk(corpus, asked, depth, "doc_id").select("query_id", "doc_id")
-    queries = asked.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(lexical_tokens(F.coalesce("text", F.lit(""))), 1, 12), " ").alias("query"))
-    lexical = R.bm25(corpus, queries)
+    query = F.array_join(F.slice(lexical_tokens(F.coalesce("text", F.lit(""))), 1, 12), " ").alias("query")
+    return corpus, corpus.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), query, "embedding")
+
+
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents, a vector encoded for each, and the held-out queries, whole and encoded alike."""
+    texts, queries = _lexical(spark, d)
+    vectors = stored(texts.select("doc_id", embedded(F.col("text")).alias("embedding")))
+    return texts, vectors, stored(queries.withColumn("embedding", embedded(F.col("query"))))
+
+
+def _dense(vectors: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
+    return R.dense_topk(vectors, asked.select(F.col("query_id").alias("doc_id"), "embedding"), depth, "doc_id")
+
+
+def _pool(texts: DataFrame, vectors: DataFrame, asked: DataFrame, depth: int = 30) -> DataFrame:
+    """The union of the best of both searches over ``texts`` (doc_id, text) with ``vectors`` (doc_id, embedding) for
+    ``asked`` (query_id, query, embedding), with both scores."""
+    dense = _dense(vectors, asked, depth).select("query_id", "doc_id")
+    lexical = R.bm25(texts, asked.select("query_id", "query"))
     best = R.ranked(lexical, "query_id", "score", "doc_id", depth).select("query_id", "doc_id")
-    ids = dense.union(best).distinct()
-    q = corpus.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"))
+    ids = broadcast_if_small(stored(dense.union(best).distinct()))
+    q = asked.select("query_id", F.col("embedding").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = ids.join(q, "query_id").join(corpus.select("doc_id", "embedding"), "doc_id").withColumn("dense", F.round(dot, R.DIGITS))
-    return both.join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "doc_id"], "left").fillna(0.0, ["lexical"]).select("query_id", "doc_id", "dense", "lexical")
+    both = vectors.select("doc_id", "embedding").join(ids, "doc_id").join(q, "query_id").withColumn("dense", F.round(dot, R.DIGITS))
+    found = lexical.join(ids, ["query_id", "doc_id"]).withColumnRenamed("score", "lexical")
+    return stored(both.join(found, ["query_id", "doc_id"], "left").fillna(0.0, ["lexical"]).select("query_id", "doc_id", "dense", "lexical"))
 
 
-@query(_POOL + """, r AS (SELECT alpha, query_id, doc_id, round(alpha * nd + (1 - alpha) * nl, 6) AS score FROM f, (VALUES (0.75::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE)) a(alpha))
-SELECT alpha, query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
-def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and lexical scores blended with three weights."""
-    pool = _pool(spark, d)
+def _blends(pool: DataFrame) -> DataFrame:
     out = None
     for alpha in (0.75, 0.5, 0.25):
         part = R.fused(pool, "doc_id", alpha).withColumn("alpha", F.lit(alpha))
@@ -233,16 +248,39 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(_POOL + """, r AS (SELECT alpha, query_id, doc_id, round(alpha * nd + (1 - alpha) * nl, 6) AS score FROM f, (VALUES (0.75::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE)) a(alpha))
+SELECT alpha, query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
+def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and lexical scores blended with three weights, over what _POOL searches."""
+    corpus, asked = _vectored(spark, d)
+    return _blends(_pool(corpus, corpus, asked))
+
+
+@query()
+def hybrid_fusion_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all documents, for whole queries."""
+    return _blends(_pool(*_whole(spark, d)))
+
+
+def _overlap(texts: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    tokens = lambda c: F.array_distinct(lexical_tokens(F.coalesce(c, F.lit(""))))
+    hits = broadcast_if_small(stored(_dense(vectors, asked, 30).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))))
+    both = texts.select("doc_id", "text").join(hits, "doc_id").join(asked.select("query_id", tokens("query").alias("qt")), "query_id")
+    score = F.round(F.size(F.array_intersect(tokens("text"), "qt")) / F.greatest(F.size("qt"), F.lit(1)), 6)
+    return R.ranked(both.withColumn("score", score), "query_id", "score", "dense_rank", 10).select("query_id", "rank", "doc_id", "dense_rank", "score")
+
+
 @query(_POOL + """, o AS (SELECT query_id, doc_id, rank AS dense_rank, len(list_intersect(list_distinct(c.toks), list_distinct(qt))) / greatest(len(list_distinct(qt)), 1) AS score
   FROM ds JOIN q USING (query_id) JOIN c USING (doc_id) WHERE rank <= 30)
 SELECT query_id, rank, doc_id, dense_rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, dense_rank) AS rank FROM o) WHERE rank <= 10""")
 def overlap_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Thirty dense candidates rescored by the share of the query's tokens they hold, ties in dense order."""
-    corpus = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = corpus.filter("doc_id % 50 = 0")
-    tokens = F.array_distinct(lexical_tokens(F.coalesce("text", F.lit(""))))
-    qt = F.array_distinct(F.slice(lexical_tokens(F.coalesce("text", F.lit(""))), 1, 12))
-    hits = R.dense_topk(corpus, asked, 30, "doc_id").select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
-    both = hits.join(asked.select(F.col("doc_id").alias("query_id"), qt.alias("qt")), "query_id").join(corpus.select("doc_id", tokens.alias("toks")), "doc_id")
-    score = F.round(F.size(F.array_intersect("toks", "qt")) / F.greatest(F.size("qt"), F.lit(1)), 6)
-    return R.ranked(both.withColumn("score", score), "query_id", "score", "dense_rank", 10).select("query_id", "rank", "doc_id", "dense_rank", "score")
+    """Thirty dense candidates rescored by the share of the query's tokens they hold, ties in dense order, over what
+    _POOL searches."""
+    corpus, asked = _vectored(spark, d)
+    return _overlap(corpus, corpus, asked)
+
+
+@query()
+def overlap_rerank_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all documents, for whole queries."""
+    return _overlap(*_whole(spark, d))
