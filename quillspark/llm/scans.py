@@ -19,6 +19,7 @@ counted over all pages; only the labelled rows of the three models are bounded s
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -69,15 +70,16 @@ def scanned_lines(pages: DataFrame) -> DataFrame:
 # Logistic regression of line pairs
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the constant) by Newton steps on standardised features."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the constant) by Newton steps on standardised features; ``weight`` is each row's."""
+    weight = np.ones(len(x)) if weight is None else weight
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack(((x - mean) / scale, np.ones((len(x), 1))))
     w = np.zeros(z.shape[1])
     for _ in range(min(rounds, 30)):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + penalty * len(x) * np.eye(z.shape[1])
-        step = np.linalg.solve(hessian, z.T @ (y - p) - penalty * len(x) * w)
+        hessian = (z * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ z + penalty * len(x) * np.eye(z.shape[1])
+        step = np.linalg.solve(hessian, z.T @ (weight * (y - p)) - penalty * len(x) * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -91,13 +93,20 @@ def _score(weights: np.ndarray, features: list[Column]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def _trained(df: DataFrame, features: list[Column], label: Column, default: float) -> Column:
-    """Probability by a classifier trained on a bounded sample of the rows with a label."""
-    rows = df.select(*[f.cast("double").alias(f"f{i}") for i, f in enumerate(features)], label.cast("double").alias("y")).filter("y IS NOT NULL")
-    sample = rows.orderBy(F.xxhash64(*rows.columns)).limit(SAMPLE_LINES).toPandas()
-    if sample["y"].nunique() < 2:
+def _trained(df: DataFrame, features: list[Column], label: Column, default: float, ident: list[str]) -> Column:
+    """Probability by a classifier trained on a bounded sample of the rows with a label, drawn by a hash of what
+    identifies a row (``ident``). Either label has half of the sample at least, if it has so many rows; beyond
+    that, sampled rows weigh as many as they stand for."""
+    rows = df.select(*[f.cast("double").alias(f"f{i}") for i, f in enumerate(features)], label.cast("double").alias("y"), F.xxhash64(*ident).alias("draw")).filter("y IS NOT NULL")
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    least = min(sizes.values(), default=0)
+    room = {y: n if sum(sizes.values()) <= SAMPLE_LINES else max(SAMPLE_LINES // 2, SAMPLE_LINES - least) if n > least else SAMPLE_LINES // 2 for y, n in sizes.items()}
+    parts = [rows.filter(F.col("y") == y).orderBy("draw", *rows.columns[:-1]).limit(n).drop("draw").toPandas() for y, n in sorted(room.items())]
+    if len(parts) < 2:
         return F.lit(default)
-    return _score(fit_logistic(sample.drop(columns="y").to_numpy(), sample["y"].to_numpy()), features)
+    sample = pd.concat(parts, ignore_index=True)
+    weight = np.concatenate([np.full(len(p), sizes[p["y"].iloc[0]] / len(p)) for p in parts])
+    return _score(fit_logistic(sample.drop(columns="y").to_numpy(), sample["y"].to_numpy(), weight=weight / weight.mean()), features)
 
 
 # Furniture
@@ -142,7 +151,7 @@ def furniture(lines: DataFrame) -> DataFrame:
     recurs = (F.col("at_edge") >= LEAST_PAGES) & (F.col("at_edge") >= F.col("pages") * LEAST_SHARE)
     rarely_inside = F.col("all_inside") <= F.col("all_edge") * 0.5
     label = F.when(recurs & rarely_inside, 1).when((F.col("at_edge") == 1) & (F.col("pages") >= 8), 0)
-    chance = _trained(at, features, label, 0.0)
+    chance = _trained(at, features, label, 0.0, ["page_key", "line_no"])
     # Where recurrence can't decide, for the document has few pages, the classifier does.
     likely = F.when(F.col("pages") < 8, chance >= 0.7).otherwise((chance >= 0.9) & (F.col("at_edge") >= 2))
     headers = at.filter((recurs & rarely_inside) | (likely & ~F.col("line").rlike(r"[.!?-]\s*$")))
@@ -189,7 +198,7 @@ def joins(lines: DataFrame, counts: DataFrame) -> DataFrame:
     both = counts.filter((F.col("n") >= KNOWN) & F.col("word").contains("-"))
     negative = both.select(F.split_part("word", F.lit("-"), F.lit(1)).alias("head"), F.split_part("word", F.lit("-"), F.lit(2)).alias("tail"), F.lit(0).alias("y"), (F.pmod(F.xxhash64("word", F.lit(7)), F.lit(5)) == 0).alias("hidden"))
     labelled = scored(positive.unionByName(negative)).withColumn("whole", F.when(F.col("hidden"), 0.0).otherwise(F.col("whole"))).withColumn("compound", F.when(F.col("hidden"), 0.0).otherwise(F.col("compound")))
-    chance = _trained(labelled, features, F.col("y"), 1.0)
+    chance = _trained(labelled, features, F.col("y"), 1.0, ["head", "tail"])
     return scored(pairs).select("page_key", "line_no", "head", "tail", (chance >= 0.5).alias("joined"))
 
 

@@ -80,3 +80,12 @@ def test_page_numbers_need_an_edge_and_a_match(spark):
 def test_no_scanned_pages(spark):
     pages, _ = scanned(spark)
     assert S.noise(pages.filter("false"), corpus(spark, 3)).count() == 0
+
+
+def test_sample_of_equal_rows_keeps_both_labels(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE_LINES", 40)
+    rows = [(i, f, y) for i, (f, y) in enumerate([(1, 1)] * 90 + [(1, 0)] * 10 + [(0, 0)] * 90 + [(0, 1)] * 10)]
+    df = spark.createDataFrame(rows, "id long, f int, y int")
+    chance = S._trained(df, [F.col("f")], F.col("y"), -1.0, ["id"])
+    got = {r.f: r.p for r in df.select("f", chance.alias("p")).distinct().collect()}
+    assert got[0] < 0.5 < got[1] < 1
