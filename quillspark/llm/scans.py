@@ -179,9 +179,11 @@ def _ends_in_hyphen(column: str) -> Column:
 
 
 def joins(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """Lines that end in a hyphen before a line that begins with a lower-case letter: page_key, line_no, head,
+    """Lines that end in a hyphen before a line that begins with a lower-case letter, or with capitals where the
+    head is in capitals: page_key, line_no, head,
     tail, and whether they make one word (``joined``)."""
-    cut = lines.filter(_ends_in_hyphen("line") & F.col("after").rlike(r"^\s*\p{Ll}"))
+    capitals = F.col("line").rlike(r"(?<![\p{L}\p{N}])\p{Lu}{2,}[-‐\x{ad}¬]\s*$") & F.col("after").rlike(r"^\s*\p{Lu}{2,}(?![\p{L}\p{N}])")
+    cut = lines.filter(_ends_in_hyphen("line") & (F.col("after").rlike(r"^\s*\p{Ll}") | capitals))
     pairs = cut.select("page_key", "line_no", F.regexp_extract("line", r"(\p{L}[\p{L}\p{N}]*)[-‐\x{ad}¬]\s*$", 1).alias("head"), F.regexp_extract("after", r"^\s*([\p{L}\p{N}]+)", 1).alias("tail"))
     known = counts.select(F.col("word"), F.log1p(F.col("n").cast("double")).alias("s"))
     few = broadcast_if_small(known)

@@ -89,3 +89,11 @@ def test_sample_of_equal_rows_keeps_both_labels(spark, monkeypatch):
     chance = S._trained(df, [F.col("f")], F.col("y"), -1.0, ["id"])
     got = {r.f: r.p for r in df.select("f", chance.alias("p")).distinct().collect()}
     assert got[0] < 0.5 < got[1] < 1
+
+
+def test_words_in_capitals_are_joined(spark):
+    counts = spark.createDataFrame([(w.strip("."), 20) for w in sorted({w for x in SENTENCES for w in x.split()})], "word string, n long")
+    rows = [("p", 1, "THE SURVEIL-", "LANCE INTERVAL"), ("p", 2, "USE OF PROTOCOL-", "DRIVEN CARE"), ("p", 3, "the sur-", "Veillance")]
+    lines = spark.createDataFrame(rows, "page_key string, line_no long, line string, after string")
+    got = {(r.head, r.tail): r.joined for r in S.joins(lines, counts).collect()}
+    assert got == {("SURVEIL", "LANCE"): True, ("PROTOCOL", "DRIVEN"): False}
