@@ -23,14 +23,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-#: Tables whose rows hold whole texts, on which the work is mostly computing.
-TEXTS = {"documents", "pages_df", "chunks"}
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table; texts that come in fewer parts than half the cores (small files) are spread over all cores."""
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and df.rdd.getNumPartitions() < cores // 2:
-        return df.repartition(cores)
-    return df
+    """A table of the folder."""
+    return spark.read.parquet(f"{d}/{name}.parquet")
