@@ -32,7 +32,6 @@ ENTER, LEAVE, STAY, SWITCH = np.log(1e-4), np.log(0.3), np.log(0.7), np.log(1e-6
 #: Share of a character after a class it was never met behind, of its share overall; least probability.
 BACKOFF, FLOOR = 1e-5, 1e-11
 IMPOSSIBLE = -60.0
-ROUNDS = 3
 
 
 def _byte_of(encoding: str) -> np.ndarray:
@@ -222,18 +221,21 @@ class Labeller:
         return at, (at < len(self.chars)) & (self.chars[np.minimum(at, len(self.chars) - 1)] == cp)
 
     def label(self, texts: list[str]) -> tuple[list[bool], list[str]]:
-        """Whether each text holds wrongly decoded characters, and its restored form."""
+        """Whether each text holds wrongly decoded characters, and its restored form. A text is restored until
+        nothing changes; a form that it already had (two single-byte pairs can undo each other) ends it too."""
         garbled = np.zeros(len(texts), dtype=bool)
         out = list(texts)
+        had: list[set[str]] = [set() for _ in texts]
         todo = np.arange(len(texts))
-        for _ in range(ROUNDS):
-            if not len(todo):
-                break
+        while len(todo):
             found, restored = self._once([out[i] for i in todo])
             garbled[todo] |= found
-            changed = [i for i, new in zip(todo.tolist(), restored) if new != out[i]]
+            changed = []
             for i, new in zip(todo.tolist(), restored):
-                out[i] = new
+                had[i].add(out[i])
+                if new not in had[i]:
+                    out[i] = new
+                    changed.append(i)
             todo = np.array(changed, dtype=np.int64)
         return garbled.tolist(), out
 
