@@ -22,12 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.lines import folded_line, numbered_lines
-from quillspark.session import broadcast_if_small, stored
+from quillspark.llm.lines import folded_line, numbered_lines
+from quillspark.session import broadcast_if_small, is_small, stored
 
 LEAST_PAGES, LEAST_SHARE = 5, 5  # on at least so many pages, and on at least one page in so many
 #: A summary's error is below one page in so many.
 ERROR = 2 * LEAST_SHARE
+#: Counters that a task holds at once; only memory depends on it.
+HELD = 1_000_000
+#: Parts over which a document's pages are spread where its set of lines is joined and not broadcast.
+SPREAD = 16
 
 
 class Summary:
@@ -55,12 +59,25 @@ class Summary:
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Summaries of a task's documents; handed on, and begun anew, whenever they hold ``HELD`` counters (summaries
+    merge by addition, so that changes no result)."""
     summaries: dict[str, Summary] = {}
+    held = 0
     for pdf in batches:
         for document, hashes in zip(pdf["document_id"], pdf["hashes"]):
-            summaries.setdefault(document, Summary()).add(hashes.tolist())
+            summary = summaries.setdefault(document, Summary())
+            held -= len(summary.counters)
+            summary.add(hashes.tolist())
+            held += len(summary.counters)
+            if held > HELD:
+                yield _rows(summaries)
+                summaries, held = {}, 0
+    yield _rows(summaries)
+
+
+def _rows(summaries: dict[str, Summary]) -> pd.DataFrame:
     rows = [(d, s.lost if i == 0 else 0, h, n) for d, s in summaries.items() for i, (h, n) in enumerate(s.counters.items() or [(0, 0)])]
-    yield pd.DataFrame(rows, columns=["document_id", "lost", "line_hash", "n"]).astype({"lost": "int64", "line_hash": "int64", "n": "int64"})
+    return pd.DataFrame(rows, columns=["document_id", "lost", "line_hash", "n"]).astype({"lost": "int64", "line_hash": "int64", "n": "int64"})
 
 
 def _lines_of(text):
@@ -100,6 +117,11 @@ def clean_pages(pages: DataFrame, repeated: DataFrame | None = None) -> DataFram
     pages = pages.select("page_key", "document_id", "text")
     found = repeated if repeated is not None else repeated_lines(pages)
     sets = stored(found.groupBy("document_id").agg(F.collect_set("line").alias("lines")))
-    once = pages.dropDuplicates(["page_key"]).join(broadcast_if_small(sets), "document_id", "left")
+    once = pages.dropDuplicates(["page_key"])
+    if is_small(sets):
+        once = once.join(F.broadcast(sets), "document_id", "left")
+    else:  # one document may hold a third of all pages: its set goes to each of its parts
+        parts = sets.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        once = once.withColumn("part", F.pmod(F.xxhash64("page_key"), F.lit(SPREAD)).cast("int")).join(parts, ["document_id", "part"], "left")
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lines", folded_line(x)))
     return once.select("page_key", "document_id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
