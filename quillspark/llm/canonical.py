@@ -10,8 +10,9 @@ table or a shift of that array, never a call per row:
    and letter case stay, for a reader can tell them apart;
 3. composed letters are taken apart;
 4. look-alike letters: a word with a letter that only Cyrillic (Greek) has is written in that script
-   throughout, any other word in Latin letters. A Latin word with foreign look-alikes, and a
-   foreign word with Latin ones, thus each get one form;
+   throughout, a word with a letter that only Latin has in Latin letters. A Latin word with foreign
+   look-alikes, and a foreign word with Latin ones, thus each get one form. A word in letters that the
+   scripts share follows the script that most of its text's other words show, Latin where they tie;
 5. marks are put into canonical order and composed (normal form C).
 
 Null stays null, empty text empty. ASCII text without carriage returns never leaves the JVM.
@@ -25,12 +26,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillspark.llm.codepoints import Expansions, expand, flatten, unflatten
+from quillspark.llm.codepoints import Expansions, expand, flatten_arrow, unflatten_arrow
 
 # Characters without width, spaces, hyphens, and the letters that look alike.
 ZERO_WIDTH = "\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
@@ -102,9 +103,12 @@ def tables() -> dict:
     touched[: LAST] |= (ccc[:LAST] > 0) | second[:LAST]
     touched[[c for c in apart if unicodedata.normalize("NFC", chr(c)) != chr(c)]] = True
     touched[0] = False
+    shared = np.zeros(0x10000, dtype=bool)
+    shared[[ord(x) for x in CYRILLIC_AS_LATIN + GREEK_AS_LATIN]] = True
+    latin_letter = letter & (np.arange(0x10000) < 0x250)
     word = letter.copy()
     word[ord("0") : ord("9") + 1] = True
-    return {"touched": touched, "folds": Expansions(folds), "apart": Expansions(apart), "keys": keys, "values": np.array([pairs[int(k)] for k in keys], dtype=np.uint32), "ccc": ccc, "second": second, "script": script, "latin": latin, "to": to, "word": word}
+    return {"touched": touched, "folds": Expansions(folds), "apart": Expansions(apart), "keys": keys, "values": np.array([pairs[int(k)] for k in keys], dtype=np.uint32), "ccc": ccc, "second": second, "script": script, "latin": latin, "to": to, "word": word, "shared": shared, "latin letter": latin_letter}
 
 
 def _composed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,7 +190,7 @@ def _fold(flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def _one_script(flat: np.ndarray) -> np.ndarray:
+def _one_script(flat: np.ndarray, by_text: bool) -> np.ndarray:
     t = tables()
     low = np.minimum(flat, 0xFFFF)
     script = t["script"][low]
@@ -195,38 +199,58 @@ def _one_script(flat: np.ndarray) -> np.ndarray:
     inside = t["word"][low] | (t["ccc"][np.minimum(flat, len(t["ccc"]) - 1)] > 0)
     start = inside & ~np.concatenate(([False], inside[:-1]))
     word = np.where(inside, np.cumsum(start), 0)
-    own = {k: np.zeros(int(word.max()) + 1, dtype=bool) for k in (3, 4)}
-    for k in own:
-        own[k][word[script == k]] = True
-        own[k][0] = False
-    cyrillic, greek = own[3][word], own[4][word] & ~own[3][word]
+    n = int(word.max()) + 1
+    own = {k: np.bincount(word[script == k], minlength=n) > 0 for k in (3, 4)}
+    kind = np.where(own[3], 3, np.where(own[4], 4, 0))
+    kind[0] = 0
+    if by_text:  # words in shared letters only follow the script that most words of their text show
+        latin_only = np.bincount(word[(script == 0) & (t["shared"][low] == 0) & t["latin letter"][low]], minlength=n) > 0
+        text = np.cumsum(flat == 0)
+        of = np.zeros(n, dtype=np.int64)
+        of[word[start]] = text[start]
+        rows = int(text.max()) + 1
+        votes = {k: np.bincount(of[1:][(kind == k)[1:]], minlength=rows) for k in (3, 4)}
+        latin = np.bincount(of[1:][(latin_only & (kind == 0))[1:]], minlength=rows)
+        most = np.where(votes[3] > np.maximum(latin, votes[4]), 3, np.where(votes[4] > np.maximum(latin, votes[3]), 4, 0))
+        kind = np.where((kind == 0) & ~latin_only, most[of], kind)
+        kind[0] = 0
+    cyrillic, greek = kind[word] == 3, kind[word] == 4
     return np.where(cyrillic, t["to"][1][t["latin"][low]], np.where(greek, t["to"][2][t["latin"][low]], np.where(low == flat, t["latin"][low], flat))).astype(np.uint32)
 
 
-def canonical_list(texts: list[str]) -> list[str]:
-    """The consistent form of each text. Texts without a character that any step touches stay."""
-    if not texts:
-        return []
-    flat, starts = flatten(texts)
+def _form(flat: np.ndarray, by_text: bool) -> np.ndarray:
+    return _together(_one_script(expand(_fold(flat), tables()["apart"]), by_text))
+
+
+def _touched(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Texts with a character that some step touches."""
     touched = tables()["touched"][np.minimum(flat, LAST)] | ((flat == 0x0D) & (np.append(flat[1:], 0) == 0x0A))
-    rows = np.unique(np.searchsorted(starts, np.flatnonzero(touched), side="right") - 1).tolist()
-    out = list(texts)
-    if rows:
-        flat, _ = flatten([texts[i].replace("\0", "\ufffd") for i in rows])
-        flat = _together(_one_script(expand(_fold(flat), tables()["apart"])))
-        bounds = np.flatnonzero(flat == 0)
-        for i, new in zip(rows, unflatten(flat, bounds[:-1] + 1, bounds[1:])):
-            out[i] = new
-    return out
+    return np.unique(np.searchsorted(starts, np.flatnonzero(touched), side="right") - 1)
+
+
+def canonical_arrow(texts: pa.Array, by_text: bool = True) -> pa.Array:
+    """The consistent form of each text of an Arrow array; null stays null. Texts without a character that any step
+    touches are not converted."""
+    flat, starts = flatten_arrow(texts)
+    rows = _touched(flat, starts)
+    if not len(rows):
+        return texts
+    flat, _ = flatten_arrow(texts.take(pa.array(rows)))
+    place = np.full(len(texts), -1, dtype=np.int64)
+    place[rows] = np.arange(len(rows))
+    changed = unflatten_arrow(_form(flat, by_text)).cast(texts.type)
+    return pa.concat_arrays([texts, changed]).take(pa.array(np.where(place >= 0, len(texts) + place, np.arange(len(texts)))))
+
+
+def canonical_list(texts: list[str], by_text: bool = True) -> list[str]:
+    """The same for a list of texts."""
+    return canonical_arrow(pa.array(texts, pa.large_string()), by_text).to_pylist()
 
 
-@F.pandas_udf(StringType())
-def _canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        there = s.notna().to_numpy()
-        out = pd.Series([None] * len(s), dtype=object)
-        out[there] = canonical_list(s[there].tolist())
-        yield out
+@F.arrow_udf(StringType())
+def _canonical(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield canonical_arrow(texts)
 
 
 def canonical_text(text: Column) -> Column:

@@ -1,6 +1,7 @@
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -48,6 +49,20 @@ def test_visible_differences_stay():
         assert C.canonical_list([a]) != C.canonical_list([b]), (a, b)
 
 
+def test_shared_letters_follow_their_text():
+    russian = "он пришёл со старой собакой, а она рада"
+    assert C.canonical_list([russian]) == [russian]
+    assert C.canonical_list([russian.replace("со ", "co ")]) == [russian]
+    assert C.canonical_list(["а word со shared letters"]) == ["a word co shared letters"]
+    assert C.canonical_list([russian], by_text=False) != [russian]
+
+
+def test_arrow_with_nulls_offsets_and_separators():
+    texts = pa.array(["x", None, "état", "", "a\0b", "wоrd", "😀 ﬁn"]).slice(1)
+    assert C.canonical_arrow(texts).to_pylist() == [None, "état", "", "a\0b", "word", "😀 fin"]
+    assert C.canonical_arrow(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_pairs(spark):
     rows = [("chunks", "a", "word"), ("chunks", "b", "wоrd"), ("chunks", "c", "word"), ("chunks", "a", "word"), ("chunks", "d", None), ("chunks", "e", "other"), ("pages_df", "f", "w​ord"), ("chunks", "g", ""), ("chunks", "h", "​"), ("pages_df", "i", "wörd"), ("pages_df", "j", "wörd")]
     df = spark.createDataFrame(rows, "table_name string, record_key string, text string")
