@@ -71,3 +71,19 @@ def test_shared_hash_is_not_enough(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     monkeypatch.setattr(R, "candidates", lambda pages, sizes: R.F.broadcast(spark.createDataFrame([("d",)], "document_id string")).join(pages.select(R.F.explode(R.F.split("text", "\n")).alias("x")).select(R.F.xxhash64(R.folded_line(R.F.col("x"))).alias("line_hash")).distinct()))
     assert {r.line_no for r in R.repeated_lines(df).collect()} == {1}
+
+
+def test_folded_line(spark):
+    rows = [("  Page\t 12 of  340 ", "page 0 of 0"), ("Größe\u00a07", "größe 0"), ("", "")]
+    for raw, want in rows:
+        assert spark.createDataFrame([(raw,)], "x string").select(R.folded_line(R.F.col("x")).alias("y")).first().y == want
+
+
+def test_large_sets_and_early_summaries(spark, monkeypatch):
+    rows = made(4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = {r.page_key: r.text for r in R.clean_pages(df).collect()}
+    monkeypatch.setattr(R, "is_small", lambda df: False)
+    monkeypatch.setattr(R, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(R, "HELD", 50)
+    assert {r.page_key: r.text for r in R.clean_pages(df).collect()} == few
