@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import parsing, text as T
-from quillspark.functions.lines import folded_line
 
 
 def one(spark, value, f, kind="string"):
@@ -65,10 +64,6 @@ def test_numbers(spark):
     assert one(spark, "≥ 5.5 cm, 65–75 years", T.numeric_tokens) == [">=5.5cm", "65-75years"]
 
 
-def test_folded_line(spark):
-    assert one(spark, "  Page\t 12 of  340 ", folded_line) == "page 0 of 0"
-
-
 def test_slug_and_estimate(spark):
     assert one(spark, " A-b/c! ", T.slug) == "A_b_c"
     assert one(spark, "x" * 35, T.token_estimate) == 266
