@@ -1,40 +1,43 @@
 """Problem 7: held-out passages that appear in corpus documents.
 
-Pigeonhole edit matching over words. Half a passage (``L`` words) with at most ``k`` words changed,
-dropped or added holds one of the passage's pieces of ``w`` words unchanged, when more than ``k`` whole
-pieces lie in any ``L`` words. So each item is cut into pieces, every document's runs of ``w`` words are
-looked up among them, and around enough hits every half of the passage is verified with Myers' bit-parallel
-edit distance. A bound that never loses a match comes before it: enough words near the hit must be words of
-the item.
+Pigeonhole edit matching over words. Half a passage (``L`` words) with at most ``k`` words changed, dropped or
+added is searched by pieces of ``w`` words: any ``L`` words of the passage hold ``(L - w + 1) // w`` whole pieces,
+an error touches one piece at most, so all but ``k`` of them are in the text unchanged (``k + 1`` pieces would
+promise one hit; fixed pieces promise several, a stronger filter). Every document's runs of ``w`` words are looked
+up among the pieces, and where enough hits lie close by, every half of the passage is verified with Myers'
+bit-parallel edit distance, in as many 64-bit blocks as the half is long. A bound that never loses a match comes
+before it: enough words near the hit must be words of the item.
 
 Words are compared in their consistent form, without case, punctuation, layout and markup; a hyphen
-inside a word, also at a line end, doesn't count. Items are taken in blocks of ``BLOCK`` (what a task
-holds is bounded by it); each document is read once per block, never shuffled. Null and empty texts and
-items have no matches; repeated rows of either side give one row.
+inside a word, also at a line end, doesn't count. Items are searched in one pass over the documents, or in one pass
+per ``BLOCK_CHARS`` characters of items, which is what is broadcast at once; documents are never shuffled. Null and
+empty texts and items have no matches; repeated rows of either side give one row.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.canonical import canonical_list
-from quillspark.llm.codepoints import column, flatten
+from quillspark.llm.canonical import canonical_arrow
+from quillspark.llm.codepoints import flatten_arrow
 from quillspark.llm.tokens import CHARS_AT_ONCE, hashes
 
-SHARE, ERRORS, PIECE, BLOCK = 0.5, 0.1, 5, 10_000
-#: Verifications that run side by side; memory alone depends on it.
-LANES = 50_000
+SHARE, ERRORS, PIECE, BLOCK_CHARS = 0.5, 0.1, 5, 32_000_000
+#: Verifications that run side by side, and cells of a table of words; memory alone depends on them.
+LANES, CELLS = 50_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-MARKUP = r"</?[A-Za-z][^<>\n]{0,80}>|\]\([^()\s]{1,200}\)"
+#: Tags, comments and the targets of links.
+MARKUP = r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"
 
 
 @cache
@@ -49,14 +52,9 @@ def _lookup() -> tuple[np.ndarray, np.ndarray]:
     return lower, word
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word of the texts, and the index of its text."""
-    foreign = [i for i, x in enumerate(texts) if not x.isascii()]
-    if foreign:
-        texts = list(texts)
-        for i, x in zip(foreign, canonical_list([texts[i] for i in foreign])):
-            texts[i] = x
-    flat, _ = flatten([x.replace("\0", " ") for x in texts])
+    flat, _ = flatten_arrow(canonical_arrow(texts, by_text=False))
     lower, word = _lookup()
     inside = word[flat]
     hyphen = np.flatnonzero(flat[1:-2] == 0x2D) + 1
@@ -100,72 +98,76 @@ class Table:
         return at[good], place[good]
 
 
-@dataclass
-class Item:
-    item_id: int
-    ids: np.ndarray
-    need: int
-    errors: int
-    piece: int
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i]``, ``first[i] + 1``, ... (``n[i]`` of them), one stretch after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 class Items:
-    """The pieces and words of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]], share: float, errors: float):
-        h, which = words([x for _, x in rows])
+    """The pieces and words of a block of items, all in flat arrays."""
+
+    def __init__(self, ids: np.ndarray, passages: pa.Array, share: float, errors: float):
+        h, which = words(passages)
+        self.ids = ids
+        self.begin = np.searchsorted(which, np.arange(len(ids) + 1))
+        size = np.diff(self.begin)
+        self.need = np.ceil(size * share - 1e-9).astype(np.int64)
+        self.errors = (errors * self.need + 1e-9).astype(np.int64)
+        self.piece = np.full(len(ids), PIECE)
+        for _ in range(PIECE - 1):
+            self.piece -= (self.piece > 1) & ((self.need - self.piece + 1) // self.piece <= self.errors)
+        self.hits = np.maximum(1, (self.need - self.piece + 1) // self.piece - self.errors)
         self.vocabulary = Table(h)
-        ids = np.searchsorted(self.vocabulary.values, h)
-        self.items: list[Item] = []
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        self.known = np.zeros((len(rows), len(self.vocabulary.values) + 1), dtype=bool)
-        for i, (item_id, _) in enumerate(rows):
-            mine = np.flatnonzero(which == i) if len(rows) < 2 else np.arange(*np.searchsorted(which, [i, i + 1]))
-            n = len(mine)
-            need = -int(-n * share // 1)
-            k = int(errors * need)
-            w = PIECE
-            while w > 1 and (need - w + 1) // w <= k:
-                w -= 1
-            self.items.append(Item(item_id, ids[mine], need, k, w))
-            if not n:
-                continue
-            self.known[i, ids[mine]] = True
-            runs = _runs(h[mine], w)
-            for offset in range(0, len(runs), w):
-                pieces.setdefault(w, []).append((int(runs[offset]), i, offset))
+        self.words = np.searchsorted(self.vocabulary.values, h)
+        # Which words an item holds: sorted pairs of item and word, an item's in one stretch.
+        self.wide = len(self.vocabulary.values) + 1
+        pairs = which.astype(np.int64) * self.wide + self.words
+        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
+        self.held = Table(self.pairs.astype(np.uint64) * MIX)
+        order = np.argsort(self.pairs.astype(np.uint64) * MIX, kind="stable")
+        self.held_pair = order
+        self.pair_begin = np.searchsorted(self.pairs, np.arange(len(ids) + 1) * self.wide)
         self.pieces = {}
-        for w, found in pieces.items():
-            found.sort()
-            value = np.array([x[0] for x in found], dtype=np.uint64)
-            table = Table(value)
+        for w in np.unique(self.piece[size > 0]).tolist():
+            mine = np.flatnonzero((self.piece == w) & (size >= w))
+            n = size[mine] // w
+            place = np.repeat(self.begin[mine], n) + w * _ranges(np.zeros(len(mine), np.int64), n)
+            value = _runs(h, w)[place]
+            order = np.argsort(value, kind="stable")
+            table, value = Table(value), value[order]
             first = np.searchsorted(value, table.values)
-            self.pieces[w] = (table, first, np.append(first[1:], len(value)), np.array([x[1] for x in found]), np.array([x[2] for x in found]))
-
-    def matches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of text and item that match."""
+            self.pieces[w] = (table, first, np.append(first[1:], len(value)), np.repeat(mine, n)[order])
+
+    def _pair_of(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each pair of item and word among ``pairs``; -1 for a word that the item lacks."""
+        key = (item.astype(np.int64) * self.wide + word).ravel()
+        out = np.full(key.shape, -1, dtype=np.int64)
+        at, place = self.held.find(key.astype(np.uint64) * MIX)
+        out[at] = self.held_pair[place]
+        return out.reshape(np.broadcast_shapes(item.shape, word.shape))
+
+    def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of text and item that match, by their places."""
         h, which = words(texts)
         bounds = np.searchsorted(which, np.arange(len(texts) + 1))
         at, place = self.vocabulary.find(h)
-        ids = np.full(len(h), len(self.vocabulary.values), dtype=np.int32)
+        ids = np.full(len(h), self.wide - 1, dtype=np.int64)
         ids[at] = place
         pairs = []
-        for w, (table, first, stop, item, _) in self.pieces.items():
+        for w, (table, first, stop, item) in self.pieces.items():
             pos, place = table.find(_runs(h, w))
             inside = pos + w <= bounds[which[pos] + 1]
             pos, place = pos[inside], place[inside]
             n = stop[place] - first[place]
-            hit = np.repeat(first[place], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack((np.repeat(pos, n), item[hit])))
+            pairs.append(np.stack((np.repeat(pos, n), item[_ranges(first[place], n)])))
         if not pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pos, item = np.concatenate(pairs, axis=1)
         # Of the whole pieces in any half of an item, all but as many as there may be errors are hit, close by.
         order = np.lexsort((pos, item, which[pos]))
         pos, item = pos[order], item[order]
-        needed = np.array([max(1, (x.need - x.piece + 1) // x.piece - x.errors) for x in self.items])[item]
-        span = np.array([x.need + x.errors for x in self.items])[item]
-        last = np.arange(len(pos)) + needed - 1
+        span = (self.need + self.errors)[item]
+        last = np.arange(len(pos)) + self.hits[item] - 1
         there = last < len(pos)
         last = np.minimum(last, max(0, len(pos) - 1))
         keep = there & (item[last] == item) & (which[pos[last]] == which[pos]) & (pos[last] - pos < span)
@@ -175,138 +177,123 @@ class Items:
         return self._verified(ids, bounds, *key)
 
     def _verified(self, ids: np.ndarray, bounds: np.ndarray, text: np.ndarray, item: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        need = np.array([x.need for x in self.items])[item]
-        errors = np.array([x.errors for x in self.items])[item]
-        span = need + errors
+        span = (self.need + self.errors)[item]
+        order = np.argsort(span, kind="stable")
+        text, item, block, span = text[order], item[order], block[order], span[order]
         lo = np.maximum(bounds[text], block * span - span)
         hi = np.minimum(bounds[text + 1], (block + 2) * span)
         good = np.zeros(len(text), dtype=bool)
-        for a in range(0, len(text), 20_000):  # the bound: words of the item among the words near a hit
-            s = slice(a, a + 20_000)
+        a = 0
+        while a < len(text):  # the bound: words of the item among the words near a hit
+            s = slice(a, a + max(1, CELLS // int(3 * span[min(len(text) - 1, a + CELLS // 300)] + 1)))
             where = lo[s, None] + np.arange(int((hi[s] - lo[s]).max()))
-            mine = self.known[item[s, None], ids[np.minimum(where, len(ids) - 1)]] & (where < hi[s, None])
+            mine = (self._pair_of(np.broadcast_to(item[s, None], where.shape), ids[np.minimum(where, len(ids) - 1)]) >= 0) & (where < hi[s, None])
             sums = np.concatenate((np.zeros((len(mine), 1), np.int32), np.cumsum(mine, axis=1, dtype=np.int32)), axis=1)
-            span = (need[s] + errors[s])[:, None]
             begin = np.arange(sums.shape[1])
-            best = (np.take_along_axis(sums, np.minimum(begin + span, sums.shape[1] - 1), axis=1) - sums).max(axis=1)
-            good[s] = best >= need[s] - errors[s]
+            best = (np.take_along_axis(sums, np.minimum(begin + span[s, None], sums.shape[1] - 1), axis=1) - sums).max(axis=1)
+            good[s] = best >= (self.need - self.errors)[item[s]]
+            a = s.stop
         text, item, lo, hi = text[good], item[good], lo[good], hi[good]
         found = np.zeros(len(text), dtype=bool)
-        short = np.array([x.need <= 64 and len(x.ids) <= 128 for x in self.items])[item]
-        for r in np.flatnonzero(~short).tolist():
-            x = self.items[item[r]]
-            found[r] = any(_myers_long(x.ids[s : s + x.need], ids[lo[r] : hi[r]], x.errors) for s in range(len(x.ids) - x.need + 1))
-        windows = np.array([len(x.ids) - x.need + 1 for x in self.items])[item]
-        rows = np.flatnonzero(short)
-        lanes = np.cumsum(windows[rows]) // LANES
-        for part in np.unique(lanes).tolist():
-            r = rows[lanes == part]
-            found[r] = self._near(ids, item[r], windows[r], lo[r], hi[r])
+        blocks = -(-self.need[item] // 64)
+        windows = np.diff(self.begin)[item] - self.need[item] + 1
+        for n in np.unique(blocks).tolist():
+            rows = np.flatnonzero(blocks == n)
+            for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(windows[rows]) // max(1, LANES // n))) + 1):
+                found[part] = self._near(ids, item[part], windows[part], lo[part], hi[part], n)
         return text[found], item[found]
 
-    def _near(self, ids: np.ndarray, item: np.ndarray, windows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def _near(self, ids: np.ndarray, item: np.ndarray, windows: np.ndarray, lo: np.ndarray, hi: np.ndarray, blocks: int) -> np.ndarray:
         """Whether some half of each item lies in its stretch of words within its errors (Myers); every half
-        of every item runs in a lane of its own."""
-        one = np.uint64(1)
-        # Where each of an item's words stands in it, as 128 bits.
+        of every item runs in a lane of its own, in ``blocks`` words of 64 bits."""
+        one, zero = np.uint64(1), np.uint64(0)
+        # Where each of an item's words stands in it, as bits; the first row is that of all other words.
         used, slot = np.unique(item, return_inverse=True)
-        values = [np.unique(self.items[i].ids) for i in used.tolist()]
-        base = np.concatenate(([0], np.cumsum([len(v) + 1 for v in values])))
-        low, high = np.zeros(base[-1], dtype=np.uint64), np.zeros(base[-1], dtype=np.uint64)
-        for u, i in enumerate(used.tolist()):
-            at = base[u] + np.searchsorted(values[u], self.items[i].ids)
-            bit = np.arange(len(at))
-            np.bitwise_or.at(low, at[:64], one << bit[:64].astype(np.uint64))
-            np.bitwise_or.at(high, at[64:], one << (bit[64:] - 64).astype(np.uint64))
+        n_pairs = self.pair_begin[used + 1] - self.pair_begin[used]
+        base = 1 + np.cumsum(n_pairs) - n_pairs
+        sizes = self.begin[used + 1] - self.begin[used]
+        masks = np.zeros((1 + int(n_pairs.sum()), int(sizes.max()) // 64 + 2), dtype=np.uint64)
+        at = self.pair[_ranges(self.begin[used], sizes)] + np.repeat(base - self.pair_begin[used], sizes)
+        bit = _ranges(np.zeros(len(used), np.int64), sizes)
+        np.bitwise_or.at(masks, (at, bit >> 6), one << (bit & 63).astype(np.uint64))
         length = int((hi - lo).max())
         where = lo[:, None] + np.arange(length)
-        symbol = np.where(where < hi[:, None], ids[np.minimum(where, len(ids) - 1)], -1)
-        place = np.zeros(symbol.shape, dtype=np.int64)
-        for u in range(len(used)):
-            mine = slot == u
-            at = np.minimum(np.searchsorted(values[u], symbol[mine]), len(values[u]) - 1)
-            place[mine] = base[u] + np.where(values[u][at] == symbol[mine], at, len(values[u]))
+        pair = self._pair_of(np.broadcast_to(item[:, None], where.shape), np.where(where < hi[:, None], ids[np.minimum(where, len(ids) - 1)], self.wide - 1))
+        place = np.where(pair >= 0, pair + (base - self.pair_begin[used])[slot][:, None], 0)
         row = np.repeat(np.arange(len(item)), windows)
-        shift = (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.uint64)
-        need = np.array([x.need for x in self.items])[item][row]
-        errors = np.array([x.errors for x in self.items])[item][row]
-        top = (need - 1).astype(np.uint64)
-        full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - top)
-        up = (np.uint64(64) - shift) & np.uint64(63)
-        pv, mv, score = full.copy(), np.zeros(len(row), dtype=np.uint64), need.copy()
+        start = _ranges(np.zeros(len(item), np.int64), windows)
+        shift, skip = (start & 63).astype(np.uint64), start >> 6
+        up, shifted = (np.uint64(64) - shift) & np.uint64(63), shift > 0
+        need, errors = self.need[item][row], self.errors[item][row]
+        top = ((need - 1) & 63).astype(np.uint64)
+        last = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - top)
+        full = [last if b == blocks - 1 else np.uint64(0xFFFFFFFFFFFFFFFF) for b in range(blocks)]
+        pv = [np.full(len(row), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64) & full[b] for b in range(blocks)]
+        mv = [np.zeros(len(row), dtype=np.uint64) for _ in range(blocks)]
+        score = need.copy()
         best = score.copy()
         for t in range(length):
             at = place[row, t]
-            eq = ((low[at] >> shift) | np.where(shift > 0, high[at] << up, np.uint64(0))) & full
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv)
-            mh = pv & xh
-            score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+            plus = minus = zero  # what a block hands on to the next
+            for b in range(blocks):
+                eq = masks[at, skip + b] >> shift
+                eq = (eq | np.where(shifted, masks[at, skip + b + 1] << up, zero)) & full[b]
+                xv = eq | mv[b]
+                eq = eq | minus
+                xh = (((eq & pv[b]) + pv[b]) ^ pv[b]) | eq
+                ph = mv[b] | ~(xh | pv[b])
+                mh = pv[b] & xh
+                out = top if b == blocks - 1 else np.uint64(63)
+                up_by, down_by = (ph >> out) & one, (mh >> out) & one
+                ph, mh = ph << one | plus, mh << one | minus
+                pv[b] = (mh | ~(xv | ph)) & full[b]
+                mv[b] = ph & xv & full[b]
+                plus, minus = up_by, down_by
+            score += plus.astype(np.int64) - minus.astype(np.int64)
             np.minimum(best, score, out=best)
-            ph, mh = ph << one, mh << one
-            pv = (mh | ~(xv | ph)) & full
-            mv = ph & xv & full
-        out = np.zeros(len(item), dtype=bool)
-        out[row[best <= errors]] = True
-        return out
-
-
-def _myers_long(pattern: np.ndarray, text: np.ndarray, errors: int) -> bool:
-    """The same for patterns of more than 64 words, with integers of any length."""
-    masks: dict[int, int] = {}
-    for j, v in enumerate(pattern.tolist()):
-        masks[v] = masks.get(v, 0) | 1 << j
-    full, top = (1 << len(pattern)) - 1, len(pattern) - 1
-    pv, mv, score = full, 0, len(pattern)
-    for c in text.tolist():
-        eq = masks.get(c, 0)
-        xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = (mv | ~(xh | pv)) & full, pv & xh
-        score += (ph >> top & 1) - (mh >> top & 1)
-        ph, mh = ph << 1, mh << 1
-        pv, mv = (mh | ~(xv | ph)) & full, ph & xv & full
-        if score <= errors:
-            return True
-    return False
+        found = np.zeros(len(item), dtype=bool)
+        found[row[best <= errors]] = True
+        return found
 
 
 def _plain(text: Column) -> Column:
     return F.when(text.contains("<") | text.contains("]("), F.regexp_replace(text, MARKUP, " ")).otherwise(text)
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, errors: float = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs of ``documents`` (doc_id, text) and ``items`` (item_id, passage) where the text has one
     stretch with at least ``share`` of the passage's words: doc_id, item_id."""
     rows = items.filter(F.col("passage").isNotNull()).select("item_id", _plain(F.col("passage")).alias("passage")).distinct()
     texts = documents.filter(F.col("text").isNotNull()).select("doc_id", _plain(F.col("text")).alias("text"))
-    count = rows.count()
+    chars = rows.agg(F.sum(F.length("passage").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
     parts = None
-    for number in range(max(1, -(-count // block))):
-        blocks = max(1, -(-count // block))
-        mine = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).collect()  # about ``block`` items
-        found = _leaks_of([(r.item_id, r.passage) for r in mine], texts, share, errors)
+    for number in range(blocks):
+        mine = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).toArrow()  # about ``block_chars``
+        found = _leaks_of(mine, texts, share, errors)
         parts = found if parts is None else parts.unionAll(found)
     return parts.distinct()
 
 
-def _leaks_of(rows: list[tuple[int, str]], texts: DataFrame, share: float, errors: float) -> DataFrame:
+#: The items that a Python worker last searched for; it serves many tasks.
+_LAST: dict[str, Items] = {}
+
+
+def _leaks_of(rows: pa.Table, texts: DataFrame, share: float, errors: float) -> DataFrame:
     known = texts.sparkSession.sparkContext.broadcast(rows)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(known.value, share, errors)
-        ids = np.array([r[0] for r in known.value], dtype=np.int64)
+        if name not in _LAST:
+            _LAST.clear()
+            _LAST[name] = Items(known.value.column("item_id").to_numpy(), known.value.column("passage").combine_chunks(), share, errors)
+        items = _LAST[name]
         for batch in batches:
-            docs, all_texts = np.array(column(batch, "doc_id")), column(batch, "text")
-            first = size = 0
-            for i in range(len(all_texts) + 1):
-                if i == len(all_texts) or (size > CHARS_AT_ONCE and i > first):
-                    if i > first and len(ids):
-                        text, item = items.matches(all_texts[first:i])
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[first:i][text], pa.int64()), pa.array(ids[item], pa.int64())], names=["doc_id", "item_id"])
-                    first = i
-                    size = 0
-                if i < len(all_texts):
-                    size += len(all_texts[i]) + 1
+            docs, all_texts = batch.column("doc_id"), batch.column("text")
+            size = np.cumsum(pc.binary_length(all_texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(size // CHARS_AT_ONCE)) + 1):
+                if len(part) and len(items.ids):
+                    text, item = items.matches(all_texts.slice(part[0], len(part)))
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(text + part[0])).cast(pa.int64()), pa.array(items.ids[item], pa.int64())], names=["doc_id", "item_id"])
 
     return texts.mapInArrow(run, "doc_id long, item_id long")
