@@ -3,10 +3,11 @@
 ``empty``, ``copies_question``, ``refusal``, ``wrong_language`` and ``truncated`` are tested in this order; a
 pair gets the first that holds.
 
-Refusals: the opening of every response (its first words, those of the prompt masked, numbers folded; also
-the end of its first sentence) is clustered by MinHash over runs of five words, links verified at a similarity of 0.8. A cluster is a refusal
-template if it recurs across unrelated prompts and enough of its responses carry a reason code or report
-insufficient evidence; every response of such a cluster is a refusal, coded or not.
+Refusals: the openings of every response (its first words, those of the prompt masked, numbers folded; the longest
+takes in a short response whole; also the end of its first sentence) are clustered by MinHash over runs of five
+words, links verified at a similarity of 0.8. A cluster is a refusal template if it recurs across unrelated prompts
+and enough of its responses carry a reason code or report insufficient evidence; every response of such a cluster
+is a refusal, coded or not. A single response, coded or not, is no template.
 
 Language: naive Bayes over hashed character trigrams, trained on a bounded sample of labelled documents.
 Null responses are empty; null prompts only rule out the tests that need one. A pair delivered several
@@ -20,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,12 +34,14 @@ from quillspark.session import broadcast_if_small, stored
 NULLS = ["", "nan", "none", "null", "na", "n a"]
 CODES = ["potential_emergency_presentation", "patient_specific_request", "guideline_edition_unavailable", "no_chunks_retrieved", "all_scores_below_threshold", "evidence_not_specific_enough"]
 ABSTAINED = "Insufficient Evidence"
-#: Opening lengths in words, shingle, similarity, and hashing of the clustering.
-OPENINGS, SHINGLE, SIMILARITY, BANDS, ROWS = (4, 6, 12), 5, 0.8, 8, 4
+#: Opening lengths in words (in the longest, one changed word leaves a similarity of 0.8), shingle, similarity, and
+#: hashing of the clustering.
+OPENINGS, SHINGLE, SIMILARITY, BANDS, ROWS = (4, 6, 12, 60), 5, 0.8, 8, 4
 #: Words of the end of the first sentence, which also tell a template.
 CLOSING = 5
-#: A template: its least share of coded responses, and least number of prompts.
-CODED_SHARE, PROMPTS = 0.15, 2
+#: A template: its least share of coded responses; the share of their words (by weight) that two of its prompts have
+#: in common on average, at most.
+CODED_SHARE, RELATED = 0.15, 0.7
 #: Labelled documents per language from which the language model is trained, and its features.
 SAMPLE_PER_LANGUAGE, BUCKETS = 300, 1 << 14
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
@@ -94,7 +98,7 @@ def openings(pairs: DataFrame) -> DataFrame:
     # Step by step, so that no list of words is made twice.
     rows = pairs.select("result_id", "query", "coded", F.regexp_replace(F.lower("answer"), LABEL, "").alias("body"))
     sentence = F.regexp_extract("body", r"^[^.!?\n]*", 0)
-    rows = rows.select("result_id", "query", "coded", F.slice(words(F.col("body")), 1, 3 * max(OPENINGS)).alias("a"), words(sentence).alias("sentence"), words(F.col("query")).alias("q"))
+    rows = rows.select("result_id", "query", "coded", F.slice(words(F.col("body")), 1, 2 * max(OPENINGS)).alias("a"), words(sentence).alias("sentence"), words(F.col("query")).alias("q"))
     # Words of the prompt become a slot, several in a row one slot; short words stay.
     masked = F.transform("a", lambda x: F.when((F.length(x) > 4) & F.array_contains("q", x), F.lit("_")).otherwise(x))
     rows = rows.select("result_id", "query", "coded", masked.alias("masked"), "sentence")
@@ -104,36 +108,138 @@ def openings(pairs: DataFrame) -> DataFrame:
     return rows.select("result_id", "query", "coded", F.explode(F.array(*[F.slice("words", 1, n) for n in OPENINGS], "closing")).alias("opening")).filter(F.size("opening") > 1)
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each opening (hashes of its words) the set of its runs and the MinHash bands of that set."""
+    rng = np.random.default_rng(7)
+    factor = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
+    for batch in batches:
+        lists = batch.column("hashes")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        h = lists.values.to_numpy().astype(np.int64).view(np.uint64)
+        n = np.maximum(1, np.diff(bounds) - SHINGLE + 1)  # shorter ones are one run
+        first = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), n)
+        at = bounds[:-1][row] + np.arange(len(row)) - first[row]
+        run = np.zeros(len(row), dtype=np.uint64)
+        for j in range(SHINGLE):
+            there = at + j < bounds[1:][row]
+            run = run * np.uint64(0x9E3779B97F4A7C15) + np.where(there, h[np.minimum(at + j, max(0, len(h) - 1))], np.uint64(1))
+        run ^= run >> np.uint64(31)
+        pair = np.unique(np.stack((row.astype(np.uint64), run)), axis=1) if len(row) else np.zeros((2, 0), np.uint64)
+        row, run = pair[0].astype(np.int64), pair[1]
+        start = np.searchsorted(row, np.arange(len(n) + 1))
+        bands = np.zeros((len(n), BANDS), dtype=np.uint64)
+        for b in range(BANDS if len(n) else 0):
+            for k in range(b * ROWS, (b + 1) * ROWS):
+                mixed = run * factor[k] + add[k]
+                low = np.minimum.reduceat(mixed ^ mixed >> np.uint64(29), start[:-1])
+                bands[:, b] = (bands[:, b] + low) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(b)
+        runs = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(run.view(np.int64)))
+        keys = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * BANDS).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), runs, keys], names=["node", "runs", "bands"])
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """One less the similarity of two sets of runs: a metric."""
+    shared = F.size(F.array_intersect(a, b))
+    return 1 - shared / (F.size(a) + F.size(b) - shared)
+
+
+def _prefixes(sets: DataFrame, rarity: DataFrame) -> DataFrame:
+    """The rarest runs of each of ``sets`` (node, runs), as many as two similar sets can't both lack: node, run."""
+    each = sets.select("node", F.size("runs").alias("n"), F.explode("runs").alias("run")).join(rarity, "run")
+    enough = (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).cast("int")
+    rare = each.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("rare"))
+    return rare.select("node", F.explode(F.slice("rare", F.lit(1), enough)).alias("x")).select("node", "x.run")
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """Links of similar ``nodes`` (node, runs, bands) that share a band, as many as join them all: node, other.
+
+    In every band the nodes near its first one are linked with that, which joins them with one another too. The others
+    go on to a next round among themselves while a round leaves less than half of them. What is left then (and what a
+    round left, against what it didn't) meets by its rarest runs, of which similar sets share one at least: all pairs
+    of a band are never formed, and no link is lost that would join what isn't joined.
+    """
+    least = 1 - SIMILARITY + 1e-9
+    all_bands = nodes.filter(F.size("runs") > 1).select("node", F.explode("bands").alias("band"))
+    many = all_bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+    left = stored(all_bands.join(many, "band"))
+    sets = stored(nodes.select("node", "runs").join(left.select("node").distinct(), "node"))
+    found, others, n = [], None, left.count()
+    while n:
+        heads = left.groupBy("band").agg(F.min("node").alias("head")).join(sets.select(F.col("node").alias("head"), F.col("runs").alias("head_runs")), "head")
+        met = stored(left.join(sets, "node").join(heads, "band").select("node", "band", "head", _distance(F.col("runs"), F.col("head_runs")).alias("d")))
+        found.append(met.filter((F.col("d") <= least) & (F.col("node") != F.col("head"))).select("node", F.col("head").alias("other")))
+        far = met.filter(F.col("d") > least).select("node", "band")
+        others = far.select("node") if others is None else others.unionAll(far.select("node"))
+        left, before = far, n
+        n = left.count()
+        if 2 * n > before:
+            break
+    if others is None:
+        return nodes.select("node", F.col("node").alias("other")).filter("false")
+    rarity = sets.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("df"))
+    prefixes = stored(_prefixes(sets, rarity))
+    far = prefixes.join(others.distinct(), "node").select(F.col("node").alias("other"), "run")
+    pairs = prefixes.join(far, "run").filter("node <> other").select("node", "other").distinct()
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("runs").alias("other_runs")), "other")
+    out = both.filter(_distance(F.col("runs"), F.col("other_runs")) <= least).select("node", "other")
+    for part in found:
+        out = out.unionAll(part)
+    return stored(out.distinct())
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """The least node of the component of every linked node of ``pairs`` (node, other): node, cluster. Labels go to
+    neighbours, then to the label of the label, until none changes."""
+    edges = stored(pairs.unionAll(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    label = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("cluster")))
+    while True:
+        best = edges.join(label.select(F.col("node").alias("other"), "cluster"), "other").groupBy("node").agg(F.min("cluster").alias("least"))
+        moved = label.join(best, "node").select("node", F.col("cluster").alias("old"), F.least("cluster", "least").alias("cluster"))
+        jump = label.select(F.col("node").alias("cluster"), F.col("cluster").alias("root"))
+        moved = stored(moved.join(jump, "cluster", "left").select("node", "old", F.least("cluster", F.coalesce("root", "cluster")).alias("cluster")))
+        done = moved.filter("old <> cluster").isEmpty()
+        label = moved.select("node", "cluster")
+        if done:
+            return label
+
+
 def clusters(found: DataFrame) -> DataFrame:
-    """The cluster of each distinct opening: opening (text), cluster. Openings are at most twelve words,
-    so a link of 0.8 joins an opening with one that is a word longer or shorter; two rounds of taking the
-    least neighbour reach across both lengths."""
+    """The cluster of each distinct opening: node (its text), cluster."""
     distinct = found.select("opening").distinct()
-    runs = F.when(F.size("opening") <= SHINGLE, F.array(F.array_join("opening", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size("opening") - SHINGLE + 1), lambda i: F.array_join(F.slice("opening", i, SHINGLE), " ")))
-    nodes = stored(distinct.select(F.array_join("opening", " ").alias("node"), F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))).alias("runs")))
-    mins = [F.array_min(F.transform("runs", lambda x, s=s: F.xxhash64(x, F.lit(s)))) for s in range(BANDS * ROWS)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *mins[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    # Openings of one run have no near neighbour but themselves.
-    keyed = nodes.filter(F.size("runs") > 1).select("node", "runs", F.size("runs").alias("n"), F.explode(bands).alias("band"))
-    # Sets of so few runs are as similar as required only if one is larger by one, so only such sets meet.
-    longer = keyed.select(F.col("node").alias("other"), F.col("runs").alias("other_runs"), (F.col("n") - 1).alias("n"), "band")
-    shared = F.size(F.array_intersect("runs", "other_runs"))
-    near = keyed.join(longer, ["band", "n"]).filter(shared >= SIMILARITY * (2 * F.col("n") + 1 - shared)).select("node", "other").distinct()
-    links = stored(near.unionAll(near.select(F.col("other").alias("node"), F.col("node").alias("other"))))
-    label = nodes.select("node", F.col("node").alias("cluster"))
-    for _ in range(2):
-        best = links.join(label.select(F.col("node").alias("other"), "cluster"), "other").groupBy("node").agg(F.min("cluster").alias("least"))
-        label = stored(label.join(best, "node", "left").select("node", F.least("cluster", F.coalesce("least", "cluster")).alias("cluster")))
-    return label
+    hashed = distinct.select(F.array_join("opening", " ").alias("node"), F.transform("opening", lambda x: F.xxhash64(x)).alias("hashes"))
+    nodes = stored(hashed.mapInArrow(_signatures, "node string, runs array<long>, bands array<long>"))
+    linked = components(links(nodes))
+    return nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+
+
+def unrelated(prompts: DataFrame, all_prompts: DataFrame) -> DataFrame:
+    """Clusters of ``prompts`` (cluster, query) with at least two prompts of which an average pair has no more than
+    ``RELATED`` of its words in common, rare words weighing more: cluster. The average over all pairs follows from how
+    many prompts hold each word, so no pair is formed."""
+    distinct = lambda c: F.explode(F.array_distinct(words(F.col(c)))).alias("word")
+    asked = all_prompts.select("query").filter("query IS NOT NULL").distinct()
+    total = F.lit(float(asked.count()))
+    weight = asked.select(distinct("query")).groupBy("word").agg((F.log(total / F.count("*")) + 0.05).alias("weight"))
+    own = stored(prompts.filter("query IS NOT NULL").distinct())
+    held = own.select("cluster", distinct("query")).groupBy("cluster", "word").agg(F.count("*").alias("c")).join(weight, "word")
+    sums = held.groupBy("cluster").agg(F.sum(F.col("weight") * F.col("c") * (F.col("c") - 1)).alias("both"), F.sum(F.col("weight") * F.col("c")).alias("one"))
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
+    return sizes.join(sums, "cluster").filter(F.col("both") <= RELATED * (F.col("n") - 1) * F.col("one")).select("cluster")
 
 
 def refusals(pairs: DataFrame) -> DataFrame:
     """Results whose response follows a refusal template: result_id."""
     found = stored(openings(pairs))
-    named = found.select("result_id", "query", "coded", F.array_join("opening", " ").alias("node")).join(clusters(found), "node")
-    counted = named.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("coded").alias("coded"), F.approx_count_distinct("query").alias("prompts"))
-    template = counted.filter((F.col("coded") >= F.col("n") * CODED_SHARE) & (F.col("coded") >= 1) & ((F.col("prompts") >= PROMPTS) | (F.col("coded") == F.col("n"))))
-    return named.join(broadcast_if_small(stored(template.select("cluster"))), "cluster", "left_semi").select("result_id").distinct()
+    named = stored(found.select("result_id", "query", "coded", F.array_join("opening", " ").alias("node")).join(clusters(found), "node").select("result_id", "query", "coded", "cluster"))
+    counted = named.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("coded").alias("coded"))
+    enough = broadcast_if_small(stored(counted.filter((F.col("coded") >= F.col("n") * CODED_SHARE) & (F.col("coded") >= 1) & (F.col("n") > 1)).select("cluster")))
+    likely = named.join(enough, "cluster", "left_semi")
+    template = broadcast_if_small(stored(unrelated(likely.select("cluster", "query"), pairs)))
+    return likely.join(template, "cluster", "left_semi").select("result_id").distinct()
 
 
 # Languages

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,65 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "result_id long, query string, answer string, refusal string, confidence string, ingested_at int")
     docs = spark.createDataFrame([], "doc_id long, lang string, text string, n_chars long")
     assert P.defects(df, docs).count() == 0
+
+
+NAMES = ["alder", "birch", "cedar", "ebony", "ficus", "hazel", "larch", "maple", "olive", "poplar", "rowan", "willow"]
+DECLINED = "{a} wishes to thank everyone for this thoughtful message about {b}. The present system holds no passage from which a safe reply could be drawn, and guessing would serve nobody, so the matter must rest here until further material has been added by those who maintain it, which usually happens every few weeks when new editions of the printed volumes are released to the public by their several authors."
+
+
+def long_templates(spark):
+    rows = [(i, f"Question on {x}ology and {y}graphy?", DECLINED.format(a=x.title(), b=y), "no_chunks_retrieved" if i % 4 == 0 else None, "Low") for i, (x, y) in enumerate(zip(NAMES, reversed(NAMES)))]
+    return spark.createDataFrame(rows, "result_id long, query string, answer string, refusal string, confidence string").withColumn("coded", F.col("refusal").isNotNull())
+
+
+def test_varied_long_templates_are_found_by_their_links(spark, monkeypatch):
+    pairs = long_templates(spark)
+    assert {r.result_id for r in P.refusals(pairs).collect()} == set(range(12))
+    monkeypatch.setattr(P, "links", lambda nodes: nodes.select("node", F.col("node").alias("other")).filter("false"))
+    assert P.refusals(pairs).count() == 0
+
+
+def test_coded_once_or_for_one_prompt_is_no_template(spark):
+    pairs = long_templates(spark)
+    assert P.refusals(pairs.filter("result_id = 0")).count() == 0
+    assert P.refusals(pairs.withColumn("query", F.lit("Question on alderology?"))).count() == 0
+    shuffled = F.when(F.col("result_id") % 2 == 0, "Question on alderology and willowgraphy?").otherwise("On alderology and willowgraphy: question?")
+    assert P.refusals(pairs.withColumn("query", shuffled)).count() == 0
+
+
+def test_links_join_what_is_similar(spark):
+    rng = random.Random(5)
+    letters = [f"w{i}" for i in range(40)]
+    texts = set()
+    for _ in range(12):
+        base = [rng.choice(letters) for _ in range(60)]
+        for _ in range(12):
+            new = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                k = rng.choice([0, 1, 58, 59, rng.randrange(60)])
+                new[k] = rng.choice(letters)
+            texts.add(" ".join(new[: rng.choice([60, 60, 59, 56])]))
+    texts = sorted(texts)
+    runs = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    sets = [runs(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[top(i)] = top(j)
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(top(i), set()).add(t)
+    found = spark.createDataFrame([(t.split(),) for t in texts * 2], "opening array<string>")
+    got = {}
+    for r in P.clusters(found).collect():
+        got.setdefault(r.cluster, set()).add(r.node)
+    # Bands may miss a single link, of which a component has many; none is invented.
+    assert all(any(g <= w for w in want.values()) for g in got.values())
+    assert len(got) <= len(want) * 1.1 and len(want) < len(texts) / 3
