@@ -12,14 +12,18 @@ from quillspark.operators import retrieval as R
 from quillspark.plans.answers import results
 from quillspark.plans.corpus import chunks
 from quillspark.plans.registry import query, table
-from quillspark.session import shared_dir
+from quillspark.plans.retrieval import _encoded
+from quillspark.session import shared_dir, stored
 from quillspark.sources import index as I
 
 
-@query()
+@query(f"""WITH {_encoded("d", "doc_id", "text", "documents")},
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.x * d.x) AS s FROM dv q JOIN dv d USING (b) WHERE q.id % 50 = 0 GROUP BY ALL),
+r AS (SELECT q.doc_id AS query_id, d.doc_id, round(coalesce(s, 0), 4) AS score FROM documents q JOIN documents d ON q.doc_id % 50 = 0 LEFT JOIN dots ON dots.query_id = q.doc_id AND dots.doc_id = d.doc_id)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
 def hash_embed_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documents encoded, and for every fiftieth its ten nearest."""
-    rows = table(spark, d, "documents").select("doc_id", I.embedded(F.col("text")).alias("embedding"))
+    rows = stored(table(spark, d, "documents").select("doc_id", I.embedded(F.col("text")).alias("embedding")))
     return R.dense_topk(rows, rows.filter("doc_id % 50 = 0"), 10, "doc_id", digits=4)
 
 

@@ -180,43 +180,46 @@ def _lexical(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(_BM25 + "SELECT query_id, rank, doc_id, score FROM lex WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked(R.bm25(*_lexical(spark, d)), "query_id", "score", "doc_id", 10).select("query_id", "rank", "doc_id", "score")
+    return R.bm25_topk(*_lexical(spark, d), 10)[0]
 
 
 @query(_BM25 + "SELECT query_id, rank, doc_id, term, tf, round(idf, 6) AS idf, round(part, 6) AS part FROM parts JOIN (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 3) USING (query_id, doc_id)")
 def bm25_explain(spark: SparkSession, d: str) -> DataFrame:
     """Contribution of each term to the best three documents."""
-    parts = R.bm25_terms(*_lexical(spark, d))
-    best = R.ranked(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), R.DIGITS).alias("score")), "query_id", "score", "doc_id", 3)
+    best, parts = R.bm25_topk(*_lexical(spark, d), 3)
     return parts.join(best.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", "term", "tf", "idf", F.round("part", 6).alias("part"))
 
 
-_POOL = """
-WITH c AS (SELECT d.doc_id, embedding::DOUBLE[] AS v, regexp_extract_all(lower({t}), '[0-9]+(?:\\.[0-9]+)?|[a-z]+(?:''[a-z]+)?') AS toks FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-q AS (SELECT doc_id AS query_id, v AS qv, list_slice(toks, 1, 12) AS qt FROM c WHERE doc_id % 50 = 0),
-ds AS (SELECT query_id, doc_id, round(list_inner_product(qv, v), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(qv, v), 6) DESC, doc_id) AS rank FROM q, c),
-qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(qt) AS term FROM q) GROUP BY ALL),
-st AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM c),
-tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS length, unnest(toks) AS term FROM c) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-idf AS (SELECT term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term),
-ls AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS lexical FROM tf JOIN qt USING (term) JOIN idf USING (term), st GROUP BY ALL),
-lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS rank FROM ls),
-ids AS (SELECT query_id, doc_id FROM ds WHERE rank <= 30 UNION SELECT query_id, doc_id FROM lr WHERE rank <= 30),
-pool AS (SELECT query_id, doc_id, dense, coalesce(lexical, 0) AS lexical FROM ids JOIN ds USING (query_id, doc_id) LEFT JOIN ls USING (query_id, doc_id)),
-n AS (SELECT *, min(dense) OVER w AS dl, max(dense) OVER w AS dh, min(lexical) OVER w AS ll, max(lexical) OVER w AS lh FROM pool WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, doc_id, CASE WHEN dh <= dl THEN 0 ELSE (dense - dl) / (dh - dl) END AS nd, CASE WHEN lh <= ll THEN 0 ELSE (lexical - ll) / (lh - ll) END AS nl FROM n)
-""".format(t=_folded("coalesce(text, '')"))
+_TOKENS = "regexp_extract_all(lower({t}), '[0-9]+(?:\\.[0-9]+)?|[a-z]+(?:''[a-z]+)?')"
+#: The stand-in encoder: tokens counted by a place and sign that their MD5 names, as 64 numbers of unit length. Zero
+#: texts have no rows.
+_ENCODED = """
+{n}t AS (SELECT {i} AS id, unnest({tokens}) AS w FROM {source}),
+{n}h AS (SELECT w, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS h FROM (SELECT DISTINCT w FROM {n}t)),
+{n}c AS (SELECT id, h % 64 AS b, sum(CASE WHEN h < 64 THEN 1 ELSE -1 END)::BIGINT AS v FROM {n}t JOIN {n}h USING (w) GROUP BY ALL),
+{n}v AS (SELECT id, b, (v / sqrt(sum(v * v) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM {n}c WHERE v <> 0)"""
 
 
-def _vectored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """What _POOL searches: documents that have a row in embeddings, and the first twelve tokens of every fiftieth."""
-    corpus = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    query = F.array_join(F.slice(lexical_tokens(F.coalesce("text", F.lit(""))), 1, 12), " ").alias("query")
-    return corpus, corpus.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), query, "embedding")
+def _encoded(name: str, ident: str, text: str, source: str) -> str:
+    return _ENCODED.format(n=name, i=ident, tokens=_TOKENS.format(t=_folded(f"coalesce({text}, '')")), source=source)
+
+
+_NEAREST = f"""
+WITH {_encoded("ed", "doc_id", "text", "documents")},
+{_encoded("eq", "item_id", "query", "heldout_items WHERE item_id % 50 = 0")},
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.x * d.x) AS s FROM eqv q JOIN edv d USING (b) GROUP BY ALL),
+ds AS (SELECT query_id, doc_id, round(coalesce(s, 0), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 6) DESC, doc_id) AS rank
+  FROM (SELECT item_id AS query_id, doc_id FROM heldout_items, documents WHERE item_id % 50 = 0) LEFT JOIN dots USING (query_id, doc_id))"""
+_POOL = _NEAREST + "," + _BM25.replace("WITH q AS", "bq AS", 1).replace(" FROM q GROUP BY ALL", " FROM bq GROUP BY ALL").replace("d AS (SELECT doc_id, regexp", "bd AS (SELECT doc_id, regexp").replace("FROM d)", "FROM bd)").replace("unnest(toks) AS term FROM d)", "unnest(toks) AS term FROM bd)") + """,
+ids AS (SELECT query_id, doc_id FROM ds WHERE rank <= 30 UNION SELECT query_id, doc_id FROM lex WHERE rank <= 30),
+pool AS (SELECT query_id, doc_id, dense, coalesce(scored.score, 0) AS lexical FROM ids JOIN ds USING (query_id, doc_id) LEFT JOIN scored USING (query_id, doc_id)),
+n AS (SELECT *, min(dense) OVER w AS dl, max(dense) OVER w AS dh, min(lexical) OVER w AS ll, max(lexical) OVER w AS lh FROM pool WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, CASE WHEN dh <= dl THEN 0 ELSE (dense - dl) / (dh - dl) END AS nd, CASE WHEN lh <= ll THEN 0 ELSE (lexical - ll) / (lh - ll) END AS nl FROM n)
+"""
 
 
 def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents, a vector encoded for each, and the held-out queries, whole and encoded alike."""
+    """All documents, a vector encoded for each, and every fiftieth held-out query, whole and encoded alike."""
     texts, queries = _lexical(spark, d)
     vectors = stored(texts.select("doc_id", embedded(F.col("text")).alias("embedding")))
     return texts, vectors, stored(queries.withColumn("embedding", embedded(F.col("query"))))
@@ -228,38 +231,32 @@ def _dense(vectors: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
 
 def _pool(texts: DataFrame, vectors: DataFrame, asked: DataFrame, depth: int = 30) -> DataFrame:
     """The union of the best of both searches over ``texts`` (doc_id, text) with ``vectors`` (doc_id, embedding) for
-    ``asked`` (query_id, query, embedding), with both scores."""
+    ``asked`` (query_id, query, embedding), with both scores; stored once."""
     dense = _dense(vectors, asked, depth).select("query_id", "doc_id")
-    lexical = R.bm25(texts, asked.select("query_id", "query"))
-    best = R.ranked(lexical, "query_id", "score", "doc_id", depth).select("query_id", "doc_id")
-    ids = broadcast_if_small(stored(dense.union(best).distinct()))
+    queries = asked.select("query_id", "query")
+    best = R.bm25_topk(texts, queries, depth)[0].select("query_id", "doc_id")
+    ids = stored(dense.union(best).distinct())
     q = asked.select("query_id", F.col("embedding").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.select("doc_id", "embedding").join(ids, "doc_id").join(q, "query_id").withColumn("dense", F.round(dot, R.DIGITS))
-    found = lexical.join(ids, ["query_id", "doc_id"]).withColumnRenamed("score", "lexical")
+    both = vectors.select("doc_id", "embedding").join(broadcast_if_small(ids), "doc_id").join(q, "query_id").select("query_id", "doc_id", F.round(dot, R.DIGITS).alias("dense"))
+    found = R.bm25_of(texts, queries, ids).withColumnRenamed("score", "lexical")
     return stored(both.join(found, ["query_id", "doc_id"], "left").fillna(0.0, ["lexical"]).select("query_id", "doc_id", "dense", "lexical"))
 
 
-def _blends(pool: DataFrame) -> DataFrame:
-    out = None
-    for alpha in (0.75, 0.5, 0.25):
-        part = R.fused(pool, "doc_id", alpha).withColumn("alpha", F.lit(alpha))
-        out = part if out is None else out.unionByName(part)
-    return out
+_FUSED = _POOL + """, r AS (SELECT alpha, query_id, doc_id, round(alpha * nd + (1 - alpha) * nl, 6) AS score FROM f, (VALUES (0.75::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE)) a(alpha))
+SELECT alpha, query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10"""
 
 
-@query(_POOL + """, r AS (SELECT alpha, query_id, doc_id, round(alpha * nd + (1 - alpha) * nl, 6) AS score FROM f, (VALUES (0.75::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE)) a(alpha))
-SELECT alpha, query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
+@query(_FUSED)
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and lexical scores blended with three weights, over what _POOL searches."""
-    corpus, asked = _vectored(spark, d)
-    return _blends(_pool(corpus, corpus, asked))
+    """Dense and lexical scores of all documents, for whole held-out queries, blended with three weights."""
+    return R.fused(_pool(*_whole(spark, d)), "doc_id", [0.75, 0.5, 0.25])
 
 
-@query()
+@query(_FUSED)
 def hybrid_fusion_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all documents, for whole queries."""
-    return _blends(_pool(*_whole(spark, d)))
+    """The name under which hybrid_fusion was first run over all documents."""
+    return hybrid_fusion(spark, d)
 
 
 def _overlap(texts: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
@@ -270,17 +267,20 @@ def _overlap(texts: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFram
     return R.ranked(both.withColumn("score", score), "query_id", "score", "dense_rank", 10).select("query_id", "rank", "doc_id", "dense_rank", "score")
 
 
-@query(_POOL + """, o AS (SELECT query_id, doc_id, rank AS dense_rank, len(list_intersect(list_distinct(c.toks), list_distinct(qt))) / greatest(len(list_distinct(qt)), 1) AS score
-  FROM ds JOIN q USING (query_id) JOIN c USING (doc_id) WHERE rank <= 30)
-SELECT query_id, rank, doc_id, dense_rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, dense_rank) AS rank FROM o) WHERE rank <= 10""")
+_RERANKED = _NEAREST + """, dw AS (SELECT DISTINCT id, w FROM edt), qw AS (SELECT DISTINCT id, w FROM eqt), qn AS (SELECT id, count(*) AS n FROM qw GROUP BY id),
+o AS (SELECT query_id, doc_id, ds.rank AS dense_rank, round(coalesce(any_value(s.n), 0) / greatest(coalesce(any_value(qn.n), 0), 1), 6) AS score FROM ds LEFT JOIN qn ON qn.id = query_id
+  LEFT JOIN (SELECT qw.id AS qi, dw.id AS di, count(*) AS n FROM qw JOIN dw USING (w) GROUP BY ALL) s ON s.qi = query_id AND s.di = doc_id WHERE ds.rank <= 30 GROUP BY query_id, doc_id, ds.rank)
+SELECT query_id, rank, doc_id, dense_rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank) AS rank FROM o) WHERE rank <= 10"""
+
+
+@query(_RERANKED)
 def overlap_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Thirty dense candidates rescored by the share of the query's tokens they hold, ties in dense order, over what
-    _POOL searches."""
-    corpus, asked = _vectored(spark, d)
-    return _overlap(corpus, corpus, asked)
+    """Thirty dense candidates among all documents rescored by the share of the query's tokens they hold, ties in dense
+    order."""
+    return _overlap(*_whole(spark, d))
 
 
-@query()
+@query(_RERANKED)
 def overlap_rerank_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all documents, for whole queries."""
-    return _overlap(*_whole(spark, d))
+    """The name under which overlap_rerank was first run over all documents."""
+    return overlap_rerank(spark, d)
