@@ -207,11 +207,15 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
+def node_of(opening: Column) -> Column:
+    """The number under which an opening is known."""
+    return F.xxhash64(F.array_join(opening, " "))
+
+
 def clusters(found: DataFrame) -> DataFrame:
-    """The cluster of each distinct opening: node (its text), cluster."""
-    distinct = found.select("opening").distinct()
-    hashed = distinct.select(F.array_join("opening", " ").alias("node"), F.transform("opening", lambda x: F.xxhash64(x)).alias("hashes"))
-    nodes = stored(hashed.mapInArrow(_signatures, "node string, runs array<long>, bands array<long>"))
+    """The cluster of each distinct opening: node (see ``node_of``), cluster (the least node in it)."""
+    hashed = found.select(node_of(F.col("opening")).alias("node"), F.transform("opening", lambda x: F.xxhash64(x)).alias("hashes")).dropDuplicates(["node"])
+    nodes = stored(hashed.mapInArrow(_signatures, "node long, runs array<long>, bands array<long>"))
     linked = components(links(nodes))
     return nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
@@ -234,7 +238,7 @@ def unrelated(prompts: DataFrame, all_prompts: DataFrame) -> DataFrame:
 def refusals(pairs: DataFrame) -> DataFrame:
     """Results whose response follows a refusal template: result_id."""
     found = stored(openings(pairs))
-    named = stored(found.select("result_id", "query", "coded", F.array_join("opening", " ").alias("node")).join(clusters(found), "node").select("result_id", "query", "coded", "cluster"))
+    named = stored(found.select("result_id", "query", "coded", node_of(F.col("opening")).alias("node")).join(clusters(found), "node").select("result_id", "query", "coded", "cluster"))
     counted = named.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("coded").alias("coded"))
     enough = broadcast_if_small(stored(counted.filter((F.col("coded") >= F.col("n") * CODED_SHARE) & (F.col("coded") >= 1) & (F.col("n") > 1)).select("cluster")))
     likely = named.join(enough, "cluster", "left_semi")

@@ -127,9 +127,10 @@ def test_links_join_what_is_similar(spark):
     for i, t in enumerate(texts):
         want.setdefault(top(i), set()).add(t)
     found = spark.createDataFrame([(t.split(),) for t in texts * 2], "opening array<string>")
+    text = {r.n: " ".join(r.opening) for r in found.select("opening", P.node_of(F.col("opening")).alias("n")).collect()}
     got = {}
     for r in P.clusters(found).collect():
-        got.setdefault(r.cluster, set()).add(r.node)
+        got.setdefault(r.cluster, set()).add(text[r.node])
     # Bands may miss a single link, of which a component has many; none is invented.
     assert all(any(g <= w for w in want.values()) for g in got.values())
     assert len(got) <= len(want) * 1.1 and len(want) < len(texts) / 3
