@@ -1,8 +1,8 @@
 """Problem 4: noise in text from scanned pages, and its repair.
 
 Furniture: a line near a page's edge is a running header or footer if it comes back on enough pages of its
-document, or if a classifier of line pairs says so (trained on the lines for which recurrence decides). A
-line with only the page number is a number beside such marks as pages carry.
+document, or if a classifier of line pairs (trained on the lines for which recurrence decides) and how often it
+comes back say so together, by one rule for documents of any size. A line with only the page number is a number beside such marks as pages carry.
 
 Joins: a line that ends in a hyphen is judged with the next one by a second classifier of line pairs, trained
 on words of the corpus cut at random and on its hyphenated compounds.
@@ -36,6 +36,10 @@ KNOWN = 3
 #: Bounds of the labelled samples: words misread by rule, pairs of lines of each kind.
 SAMPLE_WORDS, SAMPLE_LINES = 3_000, 20_000
 LEAST_SCORE = 0.5
+#: How often a line of the text comes back at another page's edge, and the log odds from which a line is furniture.
+REPEATED, LEAST_WEIGHT = 0.05, 0.0
+#: Distance of two words beyond which it is no longer measured.
+FAR = 12
 # How scanners misread, as (true, read); letters that stand for digits.
 MISREADINGS = [("e", "c"), ("t", "f"), ("d", "cl"), ("n", "ri"), ("h", "b"), ("o", "0"), ("s", "5"), ("l", "1"), ("m", "rn"), ("u", "ii"), ("w", "vv"), ("v", "y"), ("i", "l"), ("c", "e"), ("a", "o"), ("g", "9"), ("f", "t"), ("b", "6")]
 NUMBERISH = r"^(?=.*[0-9])(?=.*[OolISBZ])[0-9OolISBZ]+$"
@@ -148,12 +152,16 @@ def furniture(lines: DataFrame) -> DataFrame:
         F.coalesce(F.trim("before") == "", F.lit(True)),
         F.col("line").rlike(r"^[^\p{Ll}]+$"),
     ]
-    recurs = (F.col("at_edge") >= LEAST_PAGES) & (F.col("at_edge") >= F.col("pages") * LEAST_SHARE)
+    on, of = F.col("at_edge"), F.col("pages")
+    recurs = (on >= LEAST_PAGES) & (on >= of * LEAST_SHARE)
     rarely_inside = F.col("all_inside") <= F.col("all_edge") * 0.5
-    label = F.when(recurs & rarely_inside, 1).when((F.col("at_edge") == 1) & (F.col("pages") >= 8), 0)
+    label = F.when(recurs & rarely_inside, 1).when(on < of * LEAST_SHARE, 0)
     chance = _trained(at, features, label, 0.0, ["page_key", "line_no"])
-    # Where recurrence can't decide, for the document has few pages, the classifier does.
-    likely = F.when(F.col("pages") < 8, chance >= 0.7).otherwise((chance >= 0.9) & (F.col("at_edge") >= 2))
+    # The classifier sees a line's form; how often it came back is weighed with it, alike for documents of any size: a
+    # header is on any share of the pages from LEAST_SHARE on with the same chance, a line of the text comes back at
+    # an edge with REPEATED.
+    weight = F.log(chance / (1 - chance + 1e-12)) - F.log(of.cast("double")) - (on - 1) * float(np.log(REPEATED))
+    likely = (on >= of * LEAST_SHARE) & (weight >= LEAST_WEIGHT)
     headers = at.filter((recurs & rarely_inside) | (likely & ~F.col("line").rlike(r"[.!?-]\s*$")))
     return numbers.unionByName(headers.select("page_key", "line_no", F.lit("running_header").alias("noise")).join(numbers.select("page_key", "line_no"), ["page_key", "line_no"], "left_anti")).distinct()
 
@@ -171,7 +179,7 @@ def word_counts(typed: DataFrame) -> DataFrame:
     compounds = F.regexp_extract_all(F.col("text"), F.lit(r"\p{L}{2,}-\p{L}{2,}"), F.lit(0))
     each = typed.select(lower.alias("text"))
     each = each.select(F.explode(F.concat(_tokens(F.col("text")), compounds)).alias("word"))
-    return each.filter(F.length("word") <= 40).groupBy("word").agg(F.count("*").alias("n"))
+    return each.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _ends_in_hyphen(column: str) -> Column:
@@ -209,10 +217,16 @@ def _bigrams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """Edits between two words, ``FAR`` and beyond as one more, so that very long words cost no more than others."""
+    edits = F.levenshtein(a, b, FAR)
+    return F.when(edits < 0, FAR + 1).otherwise(edits)
+
+
 def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
-    """Known words within two edits of ``words`` (word), through an inverted join over the five rarest bigrams
-    of each (two edits destroy at most four), or equal but for confused letters: word, candidate, n and
-    features."""
+    """Known words within two edits of ``words`` (word), through an inverted join over the five rarest bigrams of each
+    (two edits destroy at most four), or equal but for confused letters: word, candidate, n and features. Of words of
+    up to three letters all within one edit are found; two may leave no bigram, and hardly a word, of them."""
     postings = known.select(F.col("word").alias("candidate"), "n", F.explode(_bigrams(F.col("word"))).alias("gram"))
     weight = broadcast_if_small(stored(postings.groupBy("gram").agg(F.count("*").alias("df"))))
     grams = words.select("word", F.explode(_bigrams(F.col("word"))).alias("gram")).join(weight, "gram", "left").fillna(0, ["df"])
@@ -222,12 +236,12 @@ def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     # Words with several misreadings: known words that are equal but for confused letters.
     bones = known.select(F.col("word").alias("candidate"), "n", skeleton(F.col("word")).alias("bones"))
     alike = words.filter(F.length("word") >= 4).withColumn("bones", skeleton(F.col("word"))).join(bones, "bones").filter(F.col("word") != F.col("candidate"))
-    near = near.unionByName(alike.select("word", "candidate", "n", F.levenshtein("word", "candidate").alias("edits"))).distinct()
+    near = near.unionByName(alike.select("word", "candidate", "n", _distance(F.col("word"), F.col("candidate")).alias("edits"))).distinct()
     shared = F.size(F.array_intersect(_bigrams(F.col("word")), _bigrams(F.col("candidate"))))
     return near.select(
         "word", "candidate", "n",
         F.col("edits").cast("double").alias("edits"),
-        F.levenshtein(skeleton(F.col("word")), skeleton(F.col("candidate"))).cast("double").alias("bones"),
+        _distance(skeleton(F.col("word")), skeleton(F.col("candidate"))).cast("double").alias("bones"),
         F.log1p(F.col("n").cast("double")).alias("often"),
         F.length("word").cast("double").alias("size"),
         (F.length("word") - F.length("candidate")).cast("double").alias("longer"),
@@ -292,7 +306,7 @@ def analyse(pages: DataFrame, typed: DataFrame) -> dict[str, DataFrame]:
     tokens = singles.withColumn("head", F.lit(None).cast("string")).withColumn("tail", F.lit(None).cast("string")).unionByName(halves)
     odd = stored(tokens.withColumn("word", F.lower("token")).join(broadcast_if_small(known.select("word")), "word", "left_anti").filter(~F.col("token").rlike(r"^\p{N}+$")))
     numbers = odd.filter(F.col("token").rlike(NUMBERISH) & F.col("head").isNull()).select("page_key", "line_no", "token", _digits(F.col("token")).alias("replacement"))
-    unknown = odd.filter((F.length("word") >= 2) & (F.length("word") <= 40) & ~F.col("token").rlike(NUMBERISH))
+    unknown = odd.filter((F.length("word") >= 2) & ~F.col("token").rlike(NUMBERISH))
     fixed = broadcast_if_small(stored(corrections(stored(unknown.select("word").distinct()), known)))
     found = stored(unknown.join(fixed, "word"))
     single = found.filter("head IS NULL").select("page_key", "line_no", "token", "replacement")
