@@ -6,8 +6,14 @@ dialect. Null text gives null unless a function says otherwise.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results depend on.
 LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"')]
@@ -34,10 +40,47 @@ STANCE = r"recommend\w*|indicat\w*|advis\w*|consider\w*|offer\w*|warrant\w*|bene
 NEGATED_STANCE = rf"(?i)\b(?:not|no|never|cannot|nor|without|nolonger)\b(?:\s+\S+){{0,4}}?\s+(?:{STANCE})\b"
 NEGATIVE = r"(?i)\b(?:contraindicat\w*|inadvisab\w*|unnecessar\w*|unsuitab\w*|ineligib\w*|discourag\w*|harmful|avoid\w*|refrain\w*|withhold\w*|forbidden|unrecommended|not\s+recommended|shouldn'?t|mustn'?t|can'?t|don'?t|doesn'?t)\b"
 POSITIVE = r"(?i)\b(?:recommend\w*|indicated|advis\w*|consider\w*|offer\w*|warrant\w*|benefic\w*|benefit\w*|appropriate|should|shall|must|can|may\s+be\s+(?:used|offered|considered))\b"
-#: Unit, the unit it is compared in, and the factor.
-UNITS = [("mm", "mm", 1.0), ("cm", "mm", 10.0), ("months", "month", 1.0), ("month", "month", 1.0), ("years", "month", 12.0), ("year", "month", 12.0), ("weeks", "week", 1.0), ("week", "week", 1.0), ("days", "day", 1.0), ("day", "day", 1.0), ("mg", "mg", 1.0), ("g", "mg", 1000.0), ("mcg", "mg", 0.001)]
-MEASUREMENT = r"(\d+(?:\.\d+)?)\s*(months|month|years|year|weeks|week|days|day|mcg|mm|cm|mg|g)\b"
-SUFFIXES = ("ational", "ations", "ation", "ingly", "ments", "ment", "ings", "ing", "ions", "ion", "ed", "es", "s")
+# Quotation marks and ligatures as they are compared, dashes, signs that become blanks.
+QUOTES = [("‘", "'"), ("’", "'"), ("‚", "'"), ("‛", "'"), ("“", '"'), ("”", '"'), ("„", '"'), ("‟", '"'), ("´", "'"), ("`", "'")]
+JOINED_LETTERS = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
+DASHES = "‐‑‒–—―−﹘﹣－"
+SIGNS = "≥≤‡†\xa0"
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+RANGE_E = r"\b(\d+)\s*e\s*(\d+)\b"
+# Numbers spelt out; unit, the unit it is compared in, and the factor; intervals named by a word, in months.
+NUMBER_WORDS = [("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5), ("six", 6), ("seven", 7), ("eight", 8), ("nine", 9), ("ten", 10), ("eleven", 11), ("twelve", 12)]
+UNITS = [
+    ("mm", "mm", 1.0), ("millimetre", "mm", 1.0), ("millimeter", "mm", 1.0), ("millimetres", "mm", 1.0), ("millimeters", "mm", 1.0),
+    ("cm", "mm", 10.0), ("centimetre", "mm", 10.0), ("centimeter", "mm", 10.0), ("centimetres", "mm", 10.0), ("centimeters", "mm", 10.0),
+    ("month", "month", 1.0), ("months", "month", 1.0), ("year", "month", 12.0), ("years", "month", 12.0), ("week", "week", 1.0), ("weeks", "week", 1.0),
+    ("day", "day", 1.0), ("days", "day", 1.0), ("%", "%", 1.0), ("percent", "%", 1.0), ("mg", "mg", 1.0), ("g", "mg", 1000.0), ("mcg", "mg", 0.001),
+]
+_UNIT = "|".join(sorted((u for u, _, _ in UNITS), key=lambda u: (-len(u), u)))
+MEASUREMENT = rf"(\d+(?:\.\d+)?)\s*({_UNIT})\b"
+MEASURED_RANGE = rf"(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*({_UNIT})\b"
+INTERVALS = [(r"\bannual\w*\b|\bevery\s+year\b|\byearly\b|\bper\s+year\b", 12.0), (r"\bsix\s+month\w*\b|\bbi[-\s]?annual\w*\b|\bhalf[-\s]?yearly\b", 6.0)]
+# Suffixes in the order in which they are tried; negations; words that bring nothing new into a text.
+SUFFIXES = ("ations", "ation", "ements", "ement", "ingly", "edly", "ing", "ies", "ied", "ed", "es", "ly", "s")
+NEGATIONS = ["not", "no", "never", "against", "contraindicated", "unrecommended", "unsupported", "discouraged"]
+EVIDENCE_WORDS = """guideline guidelines recommend recommended recommendation suggest suggested state stated report reported
+indicate indicated advise advised consider considered decline declines according evidence clinical patient patients population
+populations manage management threshold thresholds diameter diameters aneurysm aneurysms aortic aorta abdominal repair repairs
+surveillance imaging image screen screening modality modalities interval intervals elective electively surgical surgery
+asymptomatic symptomatic unruptured ruptured rupture maximum minimum larger smaller greater measure measured measurement follow
+outcome outcomes risk benefit source sources document documents section passage passages context corpus answer question proposal
+proposals propose proposed record records recorded note noted notes describe described mention mentioned adopt adopted agree
+agreement disagree disagreement conclude conclusion finding findings statement position positions apply applies based
+insufficient sufficient examine examined usable similar similarity retrieval retrieved specific general provide require required
+offer offered perform performed treat treatment therapy prefer preference committee issue issued raise raised write writing
+strong negative positive believe support supported level grade class women male female adult adults year years month months week
+weeks size growth rate case cases study studies trial trials review data result results practice people person cannot should
+diagnosis diagnostic trigger triggers value values""".split()
+QUALIFIERS = """above below against across beyond before after during unless until since among around under over through toward
+towards upon versus regarding concerning explicitly implicitly specifically particularly especially notably typically usually
+generally commonly frequently rarely always often sometimes approximately roughly nearly almost merely simply clearly directly
+indirectly currently previously subsequently respectively accordingly additionally moreover furthermore instead otherwise
+likewise similarly together overall entirely itself themselves onwards alone least prior later earlier first second third
+third-party every explicit""".split()
 
 
 def squashed(text: Column) -> Column:
@@ -58,6 +101,57 @@ def compared(text: Column) -> Column:
     return squashed(F.lower(F.translate(text, BLANKED, " " * len(BLANKED))))
 
 
+@cache
+def compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """What compatibility normalisation does to single characters: characters that become one other, what these
+    become, and characters that become several or none. From the interpreter's Unicode data."""
+    one, to, more = [], [], []
+    for c in map(chr, range(0xA0, 0x10000)):
+        if not "\ud800" <= c <= "\udfff" and (n := unicodedata.normalize("NFKC", c)) != c:
+            if len(n) == 1:
+                one.append(c), to.append(n)
+            else:
+                more.append((c, n))
+    return "".join(one), "".join(to), more
+
+
+@cache
+def _unsettled() -> str:
+    """A pattern of the characters of which a text in compatibility form may have to be made anew."""
+    marks = [c for c in range(0xA0, sys.maxunicode) if not 0xD800 <= c <= 0xDFFF and (unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFKC", chr(c)) or 0x1160 <= c <= 0x11FF)]
+    out, first = [], marks[0]
+    for a, b in zip(marks, [*marks[1:], -1]):
+        if b != a + 1:
+            out.append(f"\\x{{{first:x}}}-\\x{{{a:x}}}")
+            first = b
+    return "[" + "".join(out) + "]"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form; only texts with a character that it concerns leave the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_unsettled()), text)), text)
+
+
+def matched(text: Column) -> Column:
+    """The form in which quotes are looked for: quotation marks straight, ligatures and wide forms expanded, any dash
+    a hyphen, ``30 e 39`` as ``30-39``, signs blank, lower case, white space (with or without width) collapsed."""
+    text = F.translate(F.replace(text, F.lit("\xa0"), F.lit(" ")), "".join(a for a, _ in QUOTES), "".join(b for _, b in QUOTES))
+    for a, b in JOINED_LETTERS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.regexp_replace(F.translate(nfkc(text), DASHES, "-" * len(DASHES)), RANGE_E, "$1-$2")
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, SIGNS, " " * len(SIGNS))), BLANK, " "))
+
+
+def matches_loosely(a: Column, b: Column) -> Column:
+    """Whether one text in matched form is in the other; blank and null texts match nothing."""
+    return F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
+
+
 def lexical_tokens(text: Column) -> Column:
     """Words and decimal numbers, lower case, no stop words removed."""
     for a, b in LIGATURES[:5]:
@@ -66,9 +160,9 @@ def lexical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LEXICAL), F.lit(0))
 
 
-def content_tokens(text: Column) -> Column:
-    """Distinct tokens of at least two characters that are no stop words."""
-    found = F.regexp_extract_all(compared(text), F.lit(CONTENT), F.lit(0))
+def content_tokens(form: Column) -> Column:
+    """Distinct tokens, of a text in ``matched`` form, of at least two characters that are no stop words."""
+    found = F.regexp_extract_all(form, F.lit(CONTENT), F.lit(0))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.array_except(F.filter(found, lambda x: F.length(x) >= 2), stop)
 
@@ -136,9 +230,40 @@ def numeric_tokens(text: Column) -> Column:
     return F.transform(found, lambda x: F.replace(F.replace(plain(x), F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<=")))
 
 
-def polarity(text: Column) -> Column:
-    """negative, positive, or null; a negated stance dominates."""
-    s = compared(text)
+def novel_stems(tokens: Column, known: Column, ignored: tuple[str, ...] = (*EVIDENCE_WORDS, *QUALIFIERS)) -> Column:
+    """Stems of the ``tokens`` of five letters and more that no token of ``known`` shares and that are not those of the
+    ``ignored`` words."""
+    words = F.filter(tokens, lambda x: x.rlike(r"^\p{L}{5,}$"))
+    skip = F.array(*[F.lit(w) for w in dict.fromkeys(stem_of(w) for w in ignored)])
+    stems = lambda a: F.array_distinct(F.transform(a, lambda x: stem(x)))
+    return F.array_except(F.array_except(stems(words), stems(known)), skip)
+
+
+def stem_of(word: str) -> str:
+    """``stem`` of a plain string."""
+    return next((word[: -len(s)] for s in SUFFIXES if len(word) - len(s) >= 4 and word.endswith(s)), word)
+
+
+def quantities(form: Column) -> Column:
+    """Quantities of a text in ``matched`` form, in comparable units: distinct structs of unit and value. Numbers may be
+    spelt out, ranges give both ends, and some intervals are words; numbers without a unit don't count."""
+    for word, n in NUMBER_WORDS:
+        form = F.regexp_replace(form, rf"\b{word}\b", str(n))
+    unit = F.create_map(*[F.lit(x) for u, c, _ in UNITS for x in (u, c)])
+    factor = F.create_map(*[F.lit(x) for u, _, f in UNITS for x in (u, f)])
+
+    def found(pattern: str, value: int, of: int) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(form, F.lit(pattern), F.lit(value)).alias("v"), F.regexp_extract_all(form, F.lit(pattern), F.lit(of)).alias("u"))
+        return F.transform(both, lambda x: F.struct(unit[x["u"]].alias("unit"), F.round(x["v"].cast("double") * factor[x["u"]], 4).alias("value")))
+
+    named = [F.when(form.rlike(p), F.struct(F.lit("month").alias("unit"), F.lit(m).alias("value"))) for p, m in INTERVALS]
+    intervals = F.filter(F.array(*named), lambda x: x.isNotNull())
+    return F.array_distinct(F.concat(found(MEASURED_RANGE, 1, 3), found(MEASURED_RANGE, 2, 3), found(MEASUREMENT, 1, 2), intervals))
+
+
+def polarity(form: Column) -> Column:
+    """negative, positive, or null, of a text in ``matched`` form; a negated stance dominates."""
+    s = form
     return F.when(s.rlike(NEGATIVE) | s.rlike(NEGATED_STANCE), "negative").when(s.rlike(POSITIVE), "positive")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import ordered as O
-from quillspark.plans.corpus import _CHUNKS, chunks
+from quillspark.plans.corpus import _CHUNKS, chunks, once
 from quillspark.plans.registry import query, table
 
 _RESULTS = "(SELECT DISTINCT ON (result_id) * FROM generation_results ORDER BY result_id, ingested_at)"
@@ -24,13 +24,51 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("result_id", (F.col("pos") + 1).cast("long").alias("pos"), "e.claim", "e.chunk_id", "e.excerpt")
 
 
+def _sq(x: str) -> str:
+    return x.replace("'", "''")
+
+
 def cmp_sql(c: str) -> str:
     """The compared form of a text."""
     for a, b in T.LIGATURES:
-        c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+        c = f"replace({c}, '{a}', '{_sq(b)}')"
     return rf"trim(regexp_replace(lower(translate({c}, '{T.BLANKED}', '{' ' * len(T.BLANKED)}')), '[ \t\n\x0b\f\r\x{{a0}}]+', ' ', 'g'))"
 
 
+def match_sql(c: str) -> str:
+    """The matched form of a text. Of the characters that become several, those that texts here hold."""
+    one, to, more = T.compatible()
+    c = f"translate(replace({c}, '\xa0', ' '), '{_sq(''.join(a for a, _ in T.QUOTES))}', '{_sq(''.join(b for _, b in T.QUOTES))}')"
+    for a, b in T.JOINED_LETTERS:
+        c = f"replace({c}, '{a}', '{b}')"
+    c = f"translate({c}, '{_sq(one)}', '{_sq(to)}')"
+    for a, b in more:
+        if a in "…½¼¾™№℃":
+            c = f"replace({c}, '{a}', '{b}')"
+    c = rf"regexp_replace(translate(nfc_normalize({c}), '{T.DASHES}', '{'-' * len(T.DASHES)}'), '{T.RANGE_E}', '\1-\2', 'g')"
+    return rf"trim(regexp_replace(lower(translate({c}, '{T.SIGNS}', '{' ' * len(T.SIGNS)}')), '{T.BLANK}', ' ', 'g'))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def tokens_sql(form: str) -> str:
+    """Content tokens of a matched form."""
+    return f"list_distinct(list_filter(regexp_extract_all({form}, '{T.CONTENT}'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})))"
+
+
+def stem_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({c}, '{s}') AND length({c}) >= {len(s) + 4} THEN left({c}, length({c}) - {len(s)})" for s in T.SUFFIXES) + f" ELSE {c} END"
+
+
+_IGNORED = ", ".join(f"'{w}'" for w in dict.fromkeys(T.stem_of(w) for w in (*T.EVIDENCE_WORDS, *T.QUALIFIERS)))
+
+
+def novel_sql(tokens: str, known: str) -> str:
+    """How many stems of ``tokens`` those of ``known`` lack."""
+    return f"len(list_filter(list_distinct(list_transform(list_filter({tokens}, lambda x: regexp_full_match(x, '[a-z]{{5,}}')), lambda x: {stem_sql('x')})), lambda x: x NOT IN ({_IGNORED}) AND NOT list_contains(list_transform({known}, lambda y: {stem_sql('y')}), x)))"
+
+
 @query(f"""SELECT result_id, coalesce(top_score, 0.0) AS score, coalesce(top_score, 0.0) >= 0.5 AS usable FROM {_RESULTS}""")
 def threshold_split(spark: SparkSession, d: str) -> DataFrame:
     """Results above and below an evidence threshold; a missing score counts as 0."""
@@ -62,91 +100,122 @@ def duplicate_citations(spark: SparkSession, d: str) -> DataFrame:
     return evidence(spark, d).filter("chunk_id IS NOT NULL").withColumn("k", F.row_number().over(w)).filter("k > 1").select("result_id", "chunk_id", "pos")
 
 
-@query(f"""WITH j AS (SELECT e.result_id, e.pos, {cmp_sql('c.chunk_text')} AS body, list_filter(list_transform(string_split(replace({cmp_sql('e.excerpt')}, '…', '...'), '...'), lambda x: trim(x)), lambda x: length(x) >= 12) AS parts FROM {_EVIDENCE} e JOIN {_CHUNKS} c USING (chunk_id) WHERE e.excerpt IS NOT NULL)
-SELECT result_id, pos, len(parts)::BIGINT AS parts, len(list_filter(parts, lambda x: contains(body, x)))::BIGINT AS held, CASE WHEN len(parts) = 0 THEN 'empty' WHEN len(list_filter(parts, lambda x: contains(body, x))) < len(parts) THEN 'not verbatim' WHEN len(parts) > 1 THEN 'stitched' ELSE 'verbatim' END AS verdict FROM j""")
+@query(f"""WITH j AS (SELECT e.result_id, e.pos, {match_sql('c.chunk_text')} AS body, {match_sql("coalesce(e.excerpt, '')")} AS x FROM {_EVIDENCE} e JOIN {_CHUNKS} c USING (chunk_id)),
+k AS (SELECT *, list_filter(string_split(regexp_replace(x, '[ ]*[.][.][.]+[ ]*', chr(1), 'g'), chr(1)), lambda p: p <> '') AS parts FROM j)
+SELECT result_id, pos, len(parts)::BIGINT AS parts, len(list_filter(parts, lambda p: length(p) >= 12))::BIGINT AS tested, len(list_filter(parts, lambda p: length(p) >= 12 AND contains(body, p)))::BIGINT AS held, len(parts) > 1 AS stitched,
+  CASE WHEN x = '' THEN 'empty' WHEN len(list_filter(parts, lambda p: length(p) >= 12 AND NOT contains(body, p))) > 0 THEN 'not verbatim' ELSE 'verbatim' END AS verdict FROM k""")
 def excerpt_check(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts against the chunk they name, part by part between ellipses; short parts are not tested."""
-    c = chunks(spark, d).select("chunk_id", T.compared(F.col("chunk_text")).alias("body"))
-    parts = F.filter(F.transform(F.split(F.replace(T.compared(F.col("excerpt")), F.lit("…"), F.lit("...")), r"\.\.\."), lambda x: F.trim(x)), lambda x: F.length(x) >= 12)
-    both = evidence(spark, d).filter("excerpt IS NOT NULL").join(c, "chunk_id").withColumn("p", parts)
-    held = F.size(F.filter("p", lambda x: F.contains(F.col("body"), x)))
-    n = F.size("p")
-    verdict = F.when(n == 0, "empty").when(held < n, "not verbatim").when(n > 1, "stitched").otherwise("verbatim")
-    return both.select("result_id", "pos", n.cast("long").alias("parts"), held.cast("long").alias("held"), verdict.alias("verdict"))
+    c = chunks(spark, d).select("chunk_id", "chunk_text")
+    both = evidence(spark, d).join(c, "chunk_id").select("result_id", "pos", T.matched(F.col("chunk_text")).alias("body"), T.matched(F.coalesce("excerpt", F.lit(""))).alias("x"))
+    both = both.withColumn("p", F.filter(F.split("x", r"[ ]*[.][.][.]+[ ]*"), lambda x: x != ""))
+    tested = F.filter("p", lambda x: F.length(x) >= 12)
+    held, n = F.size(F.filter(tested, lambda x: F.contains(F.col("body"), x))), F.size(tested)
+    verdict = F.when(F.col("x") == "", "empty").when(held < n, "not verbatim").otherwise("verbatim")
+    return both.select("result_id", "pos", F.size("p").cast("long").alias("parts"), n.cast("long").alias("tested"), held.cast("long").alias("held"), (F.size("p") > 1).alias("stitched"), verdict.alias("verdict"))
+
+
+@query(f"""WITH k AS (SELECT result_id, unnest(documents_cited) AS cited FROM {_RESULTS}),
+m AS (SELECT DISTINCT e.result_id, {match_sql('c.document_id')} AS a, {match_sql('c.document_name')} AS b FROM {_EVIDENCE} e JOIN {_CHUNKS} c USING (chunk_id)),
+n AS (SELECT DISTINCT result_id, cited, {match_sql('cited')} AS x FROM k WHERE cited IS NOT NULL)
+SELECT n.result_id, n.cited, coalesce(bool_or((x <> '' AND a <> '' AND (contains(a, x) OR contains(x, a))) OR (x <> '' AND b <> '' AND (contains(b, x) OR contains(x, b)))), false) AS matched
+  FROM n LEFT JOIN m ON m.result_id = n.result_id GROUP BY n.result_id, n.cited""")
+def cited_document_match(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a result names against those of its evidence, by id or name, either in part."""
+    k = results(spark, d).select("result_id", F.explode("documents_cited").alias("cited")).filter("cited IS NOT NULL").distinct().withColumn("x", T.matched(F.col("cited")))
+    c = chunks(spark, d).select("chunk_id", "document_id", "document_name")
+    m = evidence(spark, d).select("result_id", "chunk_id").join(c, "chunk_id").select("result_id", "document_id", "document_name").distinct()
+    m = m.select("result_id", T.matched(F.col("document_id")).alias("a"), T.matched(F.col("document_name")).alias("b"))
+    near = T.matches_loosely(F.col("x"), F.col("a")) | T.matches_loosely(F.col("x"), F.col("b"))
+    return k.join(m, "result_id", "left").groupBy("result_id", "cited").agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("matched"))
 
 
 _POL = "CASE WHEN regexp_matches({0}, '{neg}') OR regexp_matches({0}, '{scoped}') THEN 'negative' WHEN regexp_matches({0}, '{pos}') THEN 'positive' END"
 
 
 def _pol(c: str) -> str:
-    q = lambda s: s.replace("'", "''")
-    return _POL.format(c, neg=q(T.NEGATIVE), scoped=q(T.NEGATED_STANCE), pos=q(T.POSITIVE))
+    return _POL.format(c, neg=_sq(T.NEGATIVE), scoped=_sq(T.NEGATED_STANCE), pos=_sq(T.POSITIVE))
 
 
-@query(f"WITH p AS (SELECT content_type, {_pol('s')} AS polarity FROM (SELECT content_type, {cmp_sql('chunk_text')} AS s FROM {_CHUNKS})) SELECT content_type, polarity, count(*) AS n FROM p GROUP BY ALL")
+@query(f"WITH p AS (SELECT content_type, {_pol('s')} AS polarity FROM (SELECT content_type, {match_sql('chunk_text')} AS s FROM {_CHUNKS})) SELECT content_type, polarity, count(*) AS n FROM p GROUP BY ALL")
 def polarity_scan(spark: SparkSession, d: str) -> DataFrame:
     """Stance of chunks: a negated stance dominates."""
-    rows = table(spark, d, "chunks").select("chunk_id", "content_type", T.polarity(F.col("chunk_text")).alias("polarity"))
-    return rows.dropDuplicates(["chunk_id"]).groupBy("content_type", "polarity").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "chunks").select("chunk_id", "content_type", T.matched(F.col("chunk_text")).alias("s"))
+    return rows.select("chunk_id", "content_type", T.polarity(F.col("s")).alias("polarity")).dropDuplicates(["chunk_id"]).groupBy("content_type", "polarity").agg(F.count("*").alias("n"))
+
+
+_CLAIMS = f"SELECT e.result_id, e.pos, e.chunk_id, {match_sql('e.claim')} AS a, {match_sql('e.excerpt')} AS b FROM {_EVIDENCE} e WHERE claim IS NOT NULL AND excerpt IS NOT NULL"
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims (a) and excerpts (b) in matched form."""
+    rows = evidence(spark, d).filter("claim IS NOT NULL AND excerpt IS NOT NULL")
+    return rows.select("result_id", "pos", "chunk_id", T.matched(F.col("claim")).alias("a"), T.matched(F.col("excerpt")).alias("b"))
 
 
-@query(f"""WITH j AS (SELECT e.result_id, e.pos, {cmp_sql('e.claim')} AS a, {cmp_sql('e.excerpt')} AS b FROM {_EVIDENCE} e WHERE claim IS NOT NULL AND excerpt IS NOT NULL),
-k AS (SELECT result_id, pos, {_pol('a')} AS pa, {_pol('b')} AS pb, len(list_intersect(list_filter(regexp_extract_all(a, '{T.CONTENT}'), lambda x: length(x) >= 2 AND x NOT IN ({', '.join(f"'{w}'" for w in T.STOP_WORDS)})), list_filter(regexp_extract_all(b, '{T.CONTENT}'), lambda x: length(x) >= 2))) AS shared FROM j)
+@query(f"""WITH k AS (SELECT result_id, pos, {_pol('a')} AS pa, {_pol('b')} AS pb, len(list_intersect({tokens_sql('a')}, {tokens_sql('b')})) AS shared FROM ({_CLAIMS}))
 SELECT result_id, pos, pa AS claim_polarity, pb AS excerpt_polarity, shared::BIGINT AS shared, coalesce(pa <> pb AND shared >= 2, false) AS opposed FROM k""")
 def claim_polarity(spark: SparkSession, d: str) -> DataFrame:
     """Claims whose stance is opposite to that of the excerpt, where both speak of the same thing."""
-    rows = evidence(spark, d).filter("claim IS NOT NULL AND excerpt IS NOT NULL")
-    shared = F.size(F.array_intersect(T.content_tokens(F.col("claim")), T.content_tokens(F.col("excerpt"))))
-    a, b = T.polarity(F.col("claim")), T.polarity(F.col("excerpt"))
-    return rows.select("result_id", "pos", a.alias("claim_polarity"), b.alias("excerpt_polarity"), shared.cast("long").alias("shared"), F.coalesce((a != b) & (shared >= 2), F.lit(False)).alias("opposed"))
+    shared = F.size(F.array_intersect(T.content_tokens(F.col("a")), T.content_tokens(F.col("b"))))
+    a, b = T.polarity(F.col("a")), T.polarity(F.col("b"))
+    return _claims(spark, d).select("result_id", "pos", a.alias("claim_polarity"), b.alias("excerpt_polarity"), shared.cast("long").alias("shared"), F.coalesce((a != b) & (shared >= 2), F.lit(False)).alias("opposed"))
 
 
 _UNIT_SQL = "(VALUES " + ", ".join(f"('{u}', '{c}', {f}::DOUBLE)" for u, c, f in T.UNITS) + ") u(raw, unit, factor)"
 
 
-def measurements(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Quantities of a text column in comparable units: keys, unit, value."""
-    found = F.regexp_extract_all(T.compared(F.col(text)), F.lit("(?i)" + T.MEASUREMENT), F.lit(0))
-    raw = df.select(*keys, F.explode(found).alias("m")).select(*keys, F.regexp_extract("m", T.MEASUREMENT, 1).cast("double").alias("v"), F.regexp_extract("m", T.MEASUREMENT, 2).alias("raw"))
-    unit = F.create_map(*[F.lit(x) for u, c, f in T.UNITS for x in (u, c)])
-    factor = F.create_map(*[F.lit(x) for u, c, f in T.UNITS for x in (u, f)])
-    return raw.select(*keys, unit[F.col("raw")].alias("unit"), F.round(F.col("v") * factor[F.col("raw")], 4).alias("value"))
-
-
-def _meas(source: str, keys: str, text: str) -> str:
-    return f"SELECT {keys}, unit, round(v * factor, 4) AS value FROM (SELECT {keys}, regexp_extract(m, '{T.MEASUREMENT}', 1)::DOUBLE AS v, regexp_extract(m, '{T.MEASUREMENT}', 2) AS raw FROM (SELECT {keys}, unnest(regexp_extract_all({cmp_sql(text)}, '{T.MEASUREMENT}')) AS m FROM {source})) JOIN {_UNIT_SQL} USING (raw)"
+def _quantities_sql(source: str, keys: str, form: str) -> str:
+    """Distinct keys, unit and value of a matched form."""
+    s = form
+    for word, n in T.NUMBER_WORDS:
+        s = rf"regexp_replace({s}, '\b{word}\b', '{n}', 'g')"
+    one = lambda p, v, u: f"SELECT {keys}, unnest(regexp_extract_all(s, '{p}', {v}))::DOUBLE AS v, unnest(regexp_extract_all(s, '{p}', {u})) AS raw FROM spelt"
+    named = " UNION ".join(f"SELECT {keys}, 'month' AS unit, {m}::DOUBLE AS value FROM spelt WHERE regexp_matches(s, '{p}')" for p, m in T.INTERVALS)
+    return f"""WITH spelt AS (SELECT {keys}, {s} AS s FROM {source}), raws AS ({one(T.MEASURED_RANGE, 1, 3)} UNION ALL {one(T.MEASURED_RANGE, 2, 3)} UNION ALL {one(T.MEASUREMENT, 1, 2)})
+      SELECT {keys}, unit, round(v * factor, 4) AS value FROM raws JOIN {_UNIT_SQL} USING (raw) UNION {named}"""
 
 
-@query(f"SELECT unit, count(*) AS n, count(DISTINCT value) AS values, min(value) AS least, max(value) AS most FROM ({_meas(_CHUNKS, 'chunk_id', 'chunk_text')}) GROUP BY unit")
+@query(f"SELECT unit, count(*) AS n, count(DISTINCT value) AS values, min(value) AS least, max(value) AS most FROM ({_quantities_sql(f'(SELECT chunk_id, {match_sql("chunk_text")} AS m FROM {_CHUNKS})', 'chunk_id', 'm')}) GROUP BY unit")
 def measurement_scan(spark: SparkSession, d: str) -> DataFrame:
-    return measurements(chunks(spark, d), ["chunk_id"], "chunk_text").groupBy("unit").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """Quantities of chunks, each once a chunk, per unit."""
+    rows = once(table(spark, d, "chunks").select("chunk_id", T.matched(F.col("chunk_text")).alias("m")).select("chunk_id", T.quantities(F.col("m")).alias("q")), "chunk_id")
+    each = rows.select(F.inline("q"))
+    return each.groupBy("unit").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@query(f"""WITH a AS (SELECT DISTINCT * FROM ({_meas(_EVIDENCE, 'result_id, pos', 'claim')})), b AS (SELECT DISTINCT * FROM ({_meas(_EVIDENCE, 'result_id, pos', 'excerpt')})),
-u AS (SELECT DISTINCT result_id, pos, unit FROM b)
-SELECT a.result_id, a.pos, a.unit, a.value FROM a JOIN u USING (result_id, pos, unit) LEFT JOIN b ON b.result_id = a.result_id AND b.pos = a.pos AND b.unit = a.unit AND b.value = a.value WHERE b.value IS NULL""")
+@query(f"""WITH c AS ({_CLAIMS}), a AS ({_quantities_sql('c', 'result_id, pos', 'a')}), b AS ({_quantities_sql('c', 'result_id, pos', 'b')})
+SELECT a.result_id, a.pos, a.unit, a.value FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.result_id = a.result_id AND b.pos = a.pos AND b.unit = a.unit)
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.result_id = a.result_id AND b.pos = a.pos AND b.unit = a.unit AND b.value = a.value)""")
 def numeric_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Quantities of a claim that its excerpt, speaking in the same unit, doesn't give."""
-    rows = evidence(spark, d)
-    a = measurements(rows, ["result_id", "pos"], "claim").distinct()
-    b = measurements(rows, ["result_id", "pos"], "excerpt").distinct()
-    return a.join(b.select("result_id", "pos", "unit").distinct(), ["result_id", "pos", "unit"], "left_semi").join(b, ["result_id", "pos", "unit", "value"], "left_anti").select("result_id", "pos", "unit", "value")
-
-
-def _stem_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN ends_with({c}, '{s}') AND length({c}) >= {len(s) + 4} THEN left({c}, length({c}) - {len(s)})" for s in T.SUFFIXES) + f" ELSE {c} END"
+    rows = _claims(spark, d).select("result_id", "pos", T.quantities(F.col("a")).alias("qa"), T.quantities(F.col("b")).alias("qb"))
+    other = F.filter("qa", lambda x: F.exists(F.col("qb"), lambda y: y["unit"] == x["unit"]) & ~F.array_contains("qb", x))
+    return rows.select("result_id", "pos", F.inline(other))
 
 
-@query(f"""WITH a AS (SELECT DISTINCT result_id, {_stem_sql('t')} AS s FROM (SELECT result_id, unnest(regexp_extract_all({cmp_sql('answer')}, '[a-z]{{5,}}')) AS t FROM {_RESULTS} WHERE answer IS NOT NULL AND len(supporting_evidence) > 0)),
-b AS (SELECT DISTINCT result_id, {_stem_sql('t')} AS s FROM (SELECT result_id, unnest(regexp_extract_all({cmp_sql("concat_ws(' ', claim, excerpt)")}, '[a-z]{{5,}}')) AS t FROM {_EVIDENCE}))
-SELECT result_id, count(*) AS terms, count(*) FILTER (b.s IS NULL) AS novel FROM a LEFT JOIN b USING (result_id, s) GROUP BY result_id""")
+@query(f"""WITH e AS (SELECT result_id, {match_sql("coalesce(string_agg(concat_ws(' ', claim, excerpt), chr(10) ORDER BY pos), '')")} AS b FROM {_EVIDENCE} GROUP BY result_id),
+t AS (SELECT r.result_id, {tokens_sql('m')} AS ta, {tokens_sql('e.b')} AS tb FROM (SELECT result_id, {match_sql('answer')} AS m FROM {_RESULTS} WHERE answer IS NOT NULL) r JOIN e USING (result_id))
+SELECT result_id, len(ta)::BIGINT AS tokens, {novel_sql('ta', 'tb')}::BIGINT AS novel FROM t""")
 def novel_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Word stems of an answer that its evidence lacks."""
-    stems = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(T.compared(c), F.lit("[a-z]{5,}"), F.lit(0)), lambda x: T.stem(x)))
+    """Word stems of an answer that its evidence lacks, but for words that bring nothing new."""
     rows = results(spark, d).filter("answer IS NOT NULL AND size(supporting_evidence) > 0")
-    held = F.array_distinct(F.flatten(F.transform("supporting_evidence", lambda e: stems(F.concat_ws(" ", e["claim"], e["excerpt"])))))
-    own = rows.select("result_id", stems(F.col("answer")).alias("a"), held.alias("b")).filter(F.size("a") > 0)
-    return own.select("result_id", F.size("a").cast("long").alias("terms"), F.size(F.array_except("a", "b")).cast("long").alias("novel"))
+    held = F.array_join(F.transform("supporting_evidence", lambda e: F.concat_ws(" ", e["claim"], e["excerpt"])), "\n")
+    rows = rows.select("result_id", T.matched(F.col("answer")).alias("a"), T.matched(held).alias("b"))
+    rows = rows.select("result_id", T.content_tokens(F.col("a")).alias("ta"), T.content_tokens(F.col("b")).alias("tb"))
+    return rows.select("result_id", F.size("ta").cast("long").alias("tokens"), F.size(T.novel_stems(F.col("ta"), F.col("tb"))).cast("long").alias("novel"))
+
+
+@query(f"""WITH j AS (SELECT e.result_id, e.pos, {match_sql('e.claim')} AS a, {match_sql("concat_ws(chr(10), c.chunk_text, e.excerpt)")} AS b FROM {_EVIDENCE} e JOIN {_CHUNKS} c USING (chunk_id) WHERE trim(e.claim) <> ''),
+t AS (SELECT result_id, pos, {tokens_sql('a')} AS ta, {tokens_sql('b')} AS tb FROM j), n AS (SELECT result_id, pos, {novel_sql('ta', 'tb')} AS novel FROM t)
+SELECT result_id, pos, novel::BIGINT AS novel, novel >= 2 AS unsupported FROM n""")
+def claim_support(spark: SparkSession, d: str) -> DataFrame:
+    """Claims with two or more substantive terms that neither the chunk they cite nor its excerpt holds."""
+    c = chunks(spark, d).select("chunk_id", "chunk_text")
+    rows = evidence(spark, d).filter(F.trim("claim") != "").join(c, "chunk_id")
+    rows = rows.select("result_id", "pos", T.matched(F.col("claim")).alias("a"), T.matched(F.concat_ws("\n", "chunk_text", "excerpt")).alias("b"))
+    novel = F.size(T.novel_stems(T.content_tokens(F.col("a")), T.content_tokens(F.col("b"))))
+    return rows.select("result_id", "pos", novel.cast("long").alias("novel"), (novel >= 2).alias("unsupported"))
 
 
 _GRADE = "CASE WHEN lower(trim({0})) IN ('', 'nan', 'none', 'null', '<na>', 'n/a') THEN NULL ELSE {0} END"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.plans.answers import _EVIDENCE, _RESULTS, cmp_sql, evidence, results
+from quillspark.plans.answers import _EVIDENCE, _RESULTS, cmp_sql, evidence, match_sql, novel_sql, results, tokens_sql
 from quillspark.plans.corpus import _CHUNKS, _PAGES, chunks, pages
 from quillspark.plans.registry import query, table
 from quillspark.plans.retrieval import _ROUNDED, _RUN, _per_query
@@ -61,24 +61,34 @@ def recommendation_sentences(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.col("s").rlike(_VERB)).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.trim("s").alias("sentence"), strength.alias("strength"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_NEGATIONS = ", ".join(f"'{w}'" for w in T.NEGATIONS)
 
 
-def _tokens(c: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all({cmp_sql(c)}, '{T.CONTENT}'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})))"
-
-
-@query(rf"""WITH s AS (SELECT result_id, unnest(regexp_extract_all(answer, '{_SENTENCE}')) AS s, generate_subscripts(regexp_extract_all(answer, '{_SENTENCE}'), 1) AS pos FROM {_RESULTS} WHERE answer IS NOT NULL),
-e AS (SELECT result_id, {_tokens("concat_ws(' ', claim, excerpt)")} AS b FROM {_EVIDENCE}),
-j AS (SELECT s.result_id, s.pos, any_value(len({_tokens('s.s')})) AS n, coalesce(max(len(list_intersect({_tokens('s.s')}, e.b))), 0) AS shared FROM s LEFT JOIN e USING (result_id) GROUP BY s.result_id, s.pos)
-SELECT result_id, pos, n::BIGINT AS tokens, shared::BIGINT AS shared, n > 0 AND shared < 2 AS ungrounded FROM j""")
+@query(rf"""WITH s AS (SELECT result_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT result_id, string_split(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM {_RESULTS} WHERE answer IS NOT NULL)),
+t AS (SELECT result_id, pos, {tokens_sql('m')} AS a FROM (SELECT result_id, pos, {match_sql('s')} AS m FROM s) WHERE m <> ''),
+e AS (SELECT result_id, {tokens_sql('m')} AS b FROM (SELECT result_id, {match_sql('excerpt')} AS m FROM {_EVIDENCE} WHERE trim(excerpt) <> '')),
+k AS (SELECT result_id, list_distinct(flatten(list({tokens_sql('m')}))) AS c FROM (SELECT DISTINCT e.result_id, c.chunk_id, {match_sql('c.chunk_text')} AS m FROM {_EVIDENCE} e JOIN {_CHUNKS} c USING (chunk_id)) GROUP BY result_id),
+j AS (SELECT t.result_id, t.pos, any_value(t.a) AS a, any_value(k.c) AS c, coalesce(max(len(list_intersect(t.a, e.b))), 0) AS shared, bool_or(len(list_intersect(t.a, e.b)) >= 2 AND list_has_any(e.b, [{_NEGATIONS}]) = list_has_any(t.a, [{_NEGATIONS}])) AS agrees, count(e.result_id) AS n
+  FROM t LEFT JOIN e USING (result_id) LEFT JOIN k USING (result_id) GROUP BY t.result_id, t.pos)
+SELECT result_id, pos, len(a)::BIGINT AS tokens, shared::BIGINT AS shared, CASE WHEN c IS NULL THEN 0 ELSE {novel_sql('a', 'c')} END::BIGINT AS novel,
+  CASE WHEN c IS NOT NULL AND {novel_sql('a', 'c')} >= 2 THEN 'unsupported fact' WHEN n = 0 OR len(a) < 2 THEN 'not tested' WHEN shared < 2 THEN 'ungrounded' WHEN NOT agrees THEN 'negation differs' ELSE 'grounded' END AS verdict FROM j""")
 def sentence_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of answers against the piece of evidence that shares most content words with them."""
-    s = results(spark, d).filter("answer IS NOT NULL").select("result_id", F.posexplode(F.regexp_extract_all("answer", F.lit(_SENTENCE), F.lit(0))).alias("p", "s"))
-    s = s.select("result_id", (F.col("p") + 1).cast("long").alias("pos"), T.content_tokens(F.col("s")).alias("a"))
-    e = evidence(spark, d).select("result_id", T.content_tokens(F.concat_ws(" ", "claim", "excerpt")).alias("b"))
-    best = s.join(e, "result_id", "left").groupBy("result_id", "pos").agg(F.any_value(F.size("a")).cast("long").alias("tokens"), F.coalesce(F.max(F.when(F.col("b").isNotNull(), F.size(F.array_intersect("a", "b")))), F.lit(0)).cast("long").alias("shared"))
-    return best.withColumn("ungrounded", (F.col("tokens") > 0) & (F.col("shared") < 2))
+    """Sentences of answers: those with two terms that no cited chunk holds, those that share too few content words
+    with any excerpt, and those that every excerpt they share words with negates."""
+    split = F.split(F.regexp_replace(F.trim("answer"), r"([.!?])\s+", "$1\x01"), "\x01")
+    s = results(spark, d).filter("answer IS NOT NULL").select("result_id", F.posexplode(split).alias("p", "s"))
+    s = s.select("result_id", (F.col("p") + 1).cast("long").alias("pos"), T.matched(F.col("s")).alias("m")).filter("m <> ''").select("result_id", "pos", T.content_tokens(F.col("m")).alias("a"))
+    own = evidence(spark, d)
+    e = own.filter(F.trim("excerpt") != "").select("result_id", T.matched(F.col("excerpt")).alias("m")).select("result_id", T.content_tokens(F.col("m")).alias("b"))
+    texts = chunks(spark, d).select("chunk_id", "chunk_text").join(own.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", T.matched(F.col("chunk_text")).alias("m")).select("chunk_id", T.content_tokens(F.col("m")).alias("k"))
+    k = own.select("result_id", "chunk_id").distinct().join(texts, "chunk_id").groupBy("result_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("c"))
+    negates = lambda c: F.arrays_overlap(c, F.array(*[F.lit(w) for w in T.NEGATIONS]))
+    shared = F.size(F.array_intersect("a", "b"))
+    near = F.coalesce((shared >= 2) & (negates("a") == negates("b")), F.lit(False))
+    joined = s.join(e, "result_id", "left").groupBy("result_id", "pos").agg(F.any_value("a").alias("a"), F.coalesce(F.max(F.when(F.col("b").isNotNull(), shared)), F.lit(0)).cast("long").alias("shared"), F.bool_or(near).alias("agrees"), F.count("b").alias("n")).join(k, "result_id", "left")
+    joined = joined.withColumn("novel", F.when(F.col("c").isNull(), 0).otherwise(F.size(T.novel_stems(F.col("a"), F.col("c")))).cast("long"))
+    verdict = F.when(F.col("novel") >= 2, "unsupported fact").when((F.col("n") == 0) | (F.size("a") < 2), "not tested").when(F.col("shared") < 2, "ungrounded").when(~F.col("agrees"), "negation differs").otherwise("grounded")
+    return joined.select("result_id", "pos", F.size("a").cast("long").alias("tokens"), "shared", "novel", verdict.alias("verdict"))
 
 
 @query(rf"""WITH y AS (SELECT DISTINCT result_id, unnest(regexp_extract_all(query, '\b(?:19|20)\d\d\b'))::INT AS year FROM {_RESULTS})

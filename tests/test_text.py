@@ -49,7 +49,7 @@ def test_compared_form(spark):
 
 def test_tokens(spark):
     assert one(spark, "The 5.5 cm aneurysm isn’t small", T.lexical_tokens) == ["the", "5.5", "cm", "aneurysm", "isn't", "small"]
-    assert one(spark, "The repair of the aorta", T.content_tokens) == ["repair", "aorta"]
+    assert one(spark, "the repair of the aorta", T.content_tokens) == ["repair", "aorta"]
 
 
 @pytest.mark.parametrize("text,stance", [
@@ -57,7 +57,7 @@ def test_tokens(spark):
     ("must never be offered", "negative"), ("offer repair, but not in winter", "positive"), ("avoid smoking", "negative"), ("", None),
 ])
 def test_polarity(spark, text, stance):
-    assert one(spark, text, T.polarity) == stance
+    assert one(spark, text, lambda c: T.polarity(T.matched(c))) == stance
 
 
 def test_numbers(spark):
@@ -81,3 +81,46 @@ def test_name_id(spark):
 
     for name in ("DOC__p1-1__c0001", "", "é"):
         assert one(spark, name, parsing.name_id) == str(uuid.uuid5(parsing.NAMESPACE, name))
+
+
+@pytest.mark.parametrize("text,want", [
+    ("CTA-based", "cta-based"), ("CTA–based", "cta-based"), ("CTA—based", "cta-based"), ("CTA−based", "cta-based"), ("well‐known", "well-known"), ("well‑known", "well-known"), ("55‒5.5", "55-5.5"), ("A―B", "a-b"), ("A－B", "a-b"),
+    ("‘don’t", "'don't"), ("“word”", '"word"'), ("„Wort“", '"wort"'), ("`word`", "'word'"), ("´word´", "'word'"), ("a\xa0b", "a b"), ("a\u2009\u200bb", "a b"), ("\ufeffx", "x"), ("ｗｉｄｅ　１２", "wide 12"), ("eﬃcient ﬅ", "efficient st"),
+    ("30 e 39 mm", "30-39 mm"), ("a ≥ 5", "a 5"), ("m²", "m2"), ("e\u0301tat", "état"), ("…", "..."), (" A\t\nB ", "a b"), ("", ""), (None, None),
+])
+def test_matched_form(spark, text, want):
+    assert one(spark, text, T.matched) == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("55 mm", {("mm", 55.0)}), ("5.5 cm", {("mm", 55.0)}), ("every three years", {("month", 36.0)}), ("annually", {("month", 12.0)}), ("aneurysms 40–49 mm", {("mm", 40.0), ("mm", 49.0)}), ("Recommendation 13", set()),
+    ("twelve weeks", {("week", 12.0)}), ("half-yearly", {("month", 6.0), ("month", 12.0)}), ("every six months", {("month", 6.0)}), ("2 g and 500 mg", {("mg", 2000.0), ("mg", 500.0)}), ("5 millimetres", {("mm", 5.0)}), ("", set()),
+])
+def test_quantities(spark, text, want):
+    rows = spark.createDataFrame([(text,)], "x string").select(F.inline(T.quantities(T.matched(F.col("x"))))).collect()
+    assert {tuple(r) for r in rows} == want
+
+
+def test_stems(spark):
+    words = {"recommendations": "recommend", "recommendation": "recommend", "statements": "statement", "management": "manag", "strikingly": "strik", "reportedly": "report", "screening": "screen", "therapies": "therap", "carried": "carr", "repaired": "repair", "outcomes": "outcom", "directly": "direct", "risks": "risk", "used": "used"}
+    for word, want in words.items():
+        assert one(spark, word, T.stem) == want == T.stem_of(word)
+
+
+def test_novel_stems(spark):
+    chunk = "Elective repair should be considered for men at a maximum diameter of 55 mm or larger."
+
+    def novel(claim):
+        tokens = lambda c: T.content_tokens(T.matched(F.lit(c)))
+        return spark.range(1).select(T.novel_stems(tokens(claim), tokens(chunk)).alias("x")).first().x
+
+    assert novel("The guideline explicitly recommends surveillance above that threshold.") == []
+    assert novel("Repair is considered for men once the aneurysm reaches 55 mm.") == ["reach"]
+    assert len(novel("Metformin infusion reverses aneurysm expansion in diabetic men.")) >= 2
+    assert len(novel("Elective repair also requires lifelong dual antiplatelet therapy.")) >= 2
+
+
+def test_loose_match(spark):
+    rows = [("Management of AAA, 2024", "management of aaa", True), ("NVGC_2024", "NVGC_2024", True), ("", "x", False), (None, "x", False), ("a", "b", False)]
+    for a, b, want in rows:
+        assert spark.range(1).select(T.matches_loosely(T.matched(F.lit(a)), T.matched(F.lit(b))).alias("x")).first().x is want
