@@ -102,7 +102,7 @@ def test_quantities(spark, text, want):
 
 
 def test_stems(spark):
-    words = {"recommendations": "recommend", "recommendation": "recommend", "statements": "statement", "management": "manag", "strikingly": "strik", "reportedly": "report", "screening": "screen", "therapies": "therap", "carried": "carr", "repaired": "repair", "outcomes": "outcom", "directly": "direct", "risks": "risk", "used": "used"}
+    words = {"recommendations": "recommend", "recommendation": "recommend", "statements": "stat", "management": "manag", "strikingly": "strik", "reportedly": "report", "screening": "screen", "therapies": "therap", "carried": "carr", "repaired": "repair", "outcomes": "outcom", "directly": "direct", "risks": "risk", "used": "used"}
     for word, want in words.items():
         assert one(spark, word, T.stem) == want == T.stem_of(word)
 
