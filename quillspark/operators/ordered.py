@@ -28,6 +28,15 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str = "seq") ->
     return df.withColumn(name, inside).join(offset, [group, "block"]).withColumn(name, (F.col(name) + F.col("offset")).cast("long")).drop("offset")
 
 
+def summed(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` over the rows before each row of its ``group``."""
+    df = df.withColumn("own_value", value.cast("long"))
+    w = W.partitionBy(*group).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = df.groupBy(*group, "block").agg(F.sum("own_value").alias("sum_in")).select(*group, "block", F.coalesce(F.sum("sum_in").over(w), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("own_value").over(W.partitionBy(*group, "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn(name, inside).join(before, [*group, "block"]).withColumn(name, F.col(name) + F.col("offset")).drop("own_value", "offset")
+
+
 def carried(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
     """The last value that is not null, up to and with each row."""
     df = df.withColumn("own_value", value)

@@ -1,26 +1,40 @@
 """Section state over the pages of a document, and the two chunkers.
 
-A document of any length is spread over tasks: section state and the numbering of chunks carry one summary per
-block of pages (see ``ordered``), pages are cut into segments one by one, and only the segments of one
-recommendation, which page breaks do not cut, are brought together. A document without text gives no chunks.
+A document of any length is spread over tasks. Section state, anchors and running lengths carry one summary per block of
+pages (see ``ordered``); lines are cut into spans by expressions, a span's text is brought together in parts of about
+``PRECUT`` characters, and pages are packed by their lengths alone, block by block, with where the first buffer of a block
+begins carried from one to the next. A document without text gives no chunks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.ordered import PAGES_PER_BLOCK, blocked, carried, numbered
+from quillspark.operators.ordered import PAGES_PER_BLOCK, beside, blocked, carried, numbered, summed
 
-#: Pages for which a heading is carried on; characters at which a buffer is cut; words per piece, and shared.
-CARRIED, BUFFER, WORDS, SHARED, LEAST_CHARS = 5, 2400, 220, 40, 50
-HEADING = re.compile(r"^(#{1,6}\s+\S.*|\d{1,2}(?:\.\d{1,2})?\s+[A-Z][A-Za-z][\w ,/&:-]{1,90}|[A-Z][A-Z0-9 ,/&:-]{7,90})$")
-RECOMMENDATION = re.compile(r"^\s*(?:Recommendation\s+(\d{1,3})\s*$|(\d{1,2}\.\d{1,2}\.\d{1,2})\s+\S)")
-SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])|\n\s*\n|\n")
+# Pages for which a heading is carried on; tokens of a piece, of a recommendation's piece, shared and least;
+# characters at which a span is cut beforehand, a buffer is full or may not grow beyond, and below which a page stands alone
+# or a span is dropped.
+CARRIED, BUDGET, LIMIT, SHARED, LEAST_TOKENS = 5, 220, 510, 40, 16
+PRECUT, ENOUGH_CHARS, MOST_CHARS, ALONE_CHARS, LEAST_CHARS = 8000, 900, 2400, 120, 50
+# Lines that begin a recommendation or a section, and what such a section line must not hold.
+RECOMMENDATION_LINE = r"^\s*Recommendation\s+(\d{1,3})\s*$"
+RECOMMENDATION_ID = r"^\s*(\d{1,2}\.\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+\S"
+SECTION_LINE = r"^\s*(\d{1,2}(?:\.\d{1,2}){0,2})\.?\s+([A-Z][^\n]{4,90})$"
+NOT_A_SECTION = r"\.{4,}|(?:\.[ \t]){4,}|(?i:\bet al\b|doi:|\bAvailable at:|\[Accessed\b|\b\d{4};\s*\d+)"
+NOT_A_TITLE = r",.*,|;|\b[A-Z][a-z]+\s+[A-Z]{1,3}[,.]|\.\s+[A-Z]|[,;:]\s*$"
+# Where a text may be cut, and numbers with range and unit inside which it may not.
+CUT = re.compile(r"\n\s*\n|(?<=[.!?])\s+(?=[A-Z0-9])|\n")
+NUMBER = re.compile(r"\d+(?:[.,]\d+)?(?:\s*[–\-]\s*\d+(?:[.,]\d+)?)?(?:\s*(?:%|cm|mm|years?))?", re.I)
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+#: At most so many pages fit into a buffer, for each has ALONE_CHARS at least.
+PAGES_IN_BUFFER = -(-ENOUGH_CHARS // ALONE_CHARS)
 
 
 def page_heading(text: Column) -> Column:
@@ -42,98 +56,203 @@ def carried_sections(pages: DataFrame, pages_back: int = CARRIED) -> DataFrame:
     return out.select("document_id", "page_number", "text", F.when(near, F.col("last.title")).alias("section"), source.alias("section_source"))
 
 
-def split_words(text: str, limit: int = WORDS, shared: int = SHARED) -> list[str]:
-    """Pieces of at most ``limit`` words, cut at the last sentence end or line end that fits (else between words),
-    each beginning with the last ``shared`` words at most of the one before."""
-    words = list(re.finditer(r"\S+", text))
-    if len(words) <= limit:
-        return [text] if words else []
-    safe = {m.end() for m in SENTENCE.finditer(text)}
-    out, begin = [], 0
-    while begin < len(words):
-        end = min(len(words), begin + limit)
-        if end < len(words):
-            fits = [i for i in range(begin + limit // 2, end) if words[i + 1].start() in safe]
-            end = fits[-1] + 1 if fits else end
-        out.append(text[words[begin].start() : words[end - 1].end()])
-        if end >= len(words):
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Tokens of a text as (begin, end): words and marks. Any other tokenizer's spans may take their place."""
+    return [m.span() for m in TOKEN.finditer(text)]
+
+
+def safe_points(text: str) -> list[int]:
+    """Places where a text may be cut: after blank lines, sentences and lines, never inside a number with its range and
+    unit; its two ends."""
+    points = {0, len(text), *(m.end() for m in CUT.finditer(text)), *(m.end() for m in re.finditer("\n", text))}
+    numbers = [m.span() for m in NUMBER.finditer(text)]
+    begins = [a for a, _ in numbers]
+
+    def free(p: int) -> bool:
+        i = bisect_left(begins, p) - 1
+        return i < 0 or p >= numbers[i][1]
+
+    return sorted(p for p in points if free(p))
+
+
+def split_text(text: str | None, budget: int = BUDGET, shared: int = SHARED, limit: int = LIMIT, least: int = LEAST_TOKENS, spans: Callable[[str], list[tuple[int, int]]] = word_spans) -> list[str]:
+    """Pieces of a text. Within ``limit`` tokens it stays whole. Otherwise every piece ends at the last safe point within
+    ``budget`` tokens and the next begins up to ``shared`` tokens (half the piece at most) before, at a safe point if there
+    is one; where no safe point fits, the rest is cut by tokens. A last piece below ``least`` joins the one before."""
+    text = (text or "").strip()
+    tokens = spans(text)
+    if len(tokens) <= limit:
+        return [text] if text else []
+    shared = max(0, min(shared, budget - 1))
+    points, begins = safe_points(text), [a for a, _ in tokens]
+    pieces: list[tuple[int, int]] = []
+    start = done = 0
+    while start < len(text):
+        first = bisect_left(begins, start)
+        if len(tokens) - first <= budget:
+            pieces.append((start, len(text)))
             break
-        begin = max(begin + 1, end - min(shared, (end - begin) // 2))
+        end = points[bisect_right(points, begins[first + budget]) - 1]
+        if end <= start:  # no safe point fits
+            for at in range(first, len(tokens), max(1, budget - shared)):
+                stop = min(at + budget, len(tokens))
+                pieces.append((begins[at], tokens[stop - 1][1]))
+                if stop == len(tokens):
+                    break
+            break
+        if end <= done:  # all up to here is in a piece
+            start = done
+            continue
+        pieces.append((start, end))
+        done, last = end, bisect_left(begins, end)
+        back = min(shared, (last - first) // 2)
+        wish = max(start + 1, begins[last - back]) if back else end
+        snapped = points[bisect_right(points, wish) - 1]
+        start = snapped if start < snapped else wish
+    out = [x for a, b in pieces if (x := text[a:b].strip())]
+    if len(out) > 1 and len(spans(out[-1])) < least and len(spans(out[-2] + "\n" + out[-1])) <= limit:
+        out[-2:] = [out[-2] + "\n" + out[-1]]
     return out
 
 
-def segments(text: str | None) -> list[tuple[str, str, str]]:
-    """Kind, label and text of the parts of one page; what comes before its first anchor is of kind ``page``."""
-    out, kind, label, lines = [], "page", "", []
-    for line in (text or "").split("\n"):
-        found = RECOMMENDATION.match(line)
-        head = None if found else HEADING.match(line.strip())
-        if found or head:
-            out.append((kind, label, "\n".join(lines)))
-            kind, label, lines = ("recommendation", found.group(1) or found.group(2), []) if found else ("section", line.strip(), [])
-        lines.append(line)
-    out.append((kind, label, "\n".join(lines)))
-    return [x for x in out if x[2].strip()]
+def anchored(line: Column) -> Column:
+    """The anchor that a line is: struct of kind (recommendation, section) and label, or null."""
+    number, title = F.regexp_extract(line, SECTION_LINE, 1), F.trim(F.regexp_extract(line, SECTION_LINE, 2))
+    section = line.rlike(SECTION_LINE) & ~line.rlike(NOT_A_SECTION) & ~title.rlike(NOT_A_TITLE) & (F.size(F.split(title, r"\s+")) <= 12)
+    kind = lambda k, label: F.struct(F.lit(k).alias("kind"), label.alias("label"))
+    return (
+        F.when(line.rlike(RECOMMENDATION_LINE), kind("recommendation", F.regexp_extract(line, RECOMMENDATION_LINE, 1)))
+        .when(line.rlike(RECOMMENDATION_ID), kind("recommendation", F.regexp_extract(line, RECOMMENDATION_ID, 1)))
+        .when(section, kind("section", F.concat_ws(" ", number, title)))
+    )
 
 
-def _segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(d, p, i, *s) for d, p, t in zip(pdf["document_id"], pdf["page_number"], pdf["text"]) for i, s in enumerate(segments(t))]
-        yield pd.DataFrame(rows, columns=["document_id", "page_number", "part", "kind", "label", "text"])
+def spans(pages: DataFrame, precut: int = PRECUT) -> DataFrame:
+    """``pages`` (document_id, page_number, text) cut at anchors, and at page breaks unless a recommendation goes on:
+    document_id, page_start, page_end, line_no, part, kind, label, section (the enclosing one), text. Spans beyond
+    ``precut`` characters come in parts of about that size, cut between lines."""
+    rows = blocked(pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text"), "page_number")
+    order = ["page_number", "line_no"]
+    lines = rows.select("document_id", "page_number", "block", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("anchor", anchored(F.col("line")))
+    own = F.struct("page_number", "line_no", "anchor.kind", "anchor.label")
+    lines = carried(lines, "document_id", order, F.when(F.col("anchor").isNotNull(), F.col("anchor.kind")), "hard")
+    lines = carried(lines, "document_id", order, F.when(F.col("anchor.kind") == "section", F.col("anchor.label")), "section")
+    page = F.struct("page_number", "line_no", F.lit("page").alias("kind"), F.lit("").alias("label"))
+    begins = F.when(F.col("anchor").isNotNull(), own).when((F.col("line_no") == 0) & (F.coalesce("hard", F.lit("")) != "recommendation"), page)
+    lines = carried(lines, "document_id", order, begins, "of")
+    lines = lines.select("document_id", "block", *order, "line", "section", F.col("of.page_number").alias("page_start"), F.col("of.line_no").alias("first"), "of.kind", "of.label")
+    lines = summed(lines, ["document_id", "page_start", "first"], order, F.length("line") + 1, "before").withColumn("part", F.floor(F.col("before") / precut).cast("int"))
+    whole = lines.groupBy("document_id", "page_start", "first", "part").agg(F.min("page_number").alias("from"), F.max("page_number").alias("page_end"), F.any_value("kind").alias("kind"), F.any_value("label").alias("label"), F.min_by("section", F.struct(*order)).alias("section"), F.array_sort(F.collect_list(F.struct(*order, "line"))).alias("lines"))
+    text = F.regexp_replace(F.array_join("lines.line", "\n"), r"^\s+|\s+$", "")
+    out = whole.select("document_id", F.when(F.col("part") == 0, F.col("page_start")).otherwise(F.col("from")).alias("page_start"), "page_end", F.col("first").alias("line_no"), "part", "kind", "label", "section", text.alias("text"))
+    return out.filter((F.length("text") >= LEAST_CHARS) | ((F.col("part") > 0) & (F.length("text") > 0)))
 
 
-def _pieces(spans: DataFrame, limit: int, shared: int) -> DataFrame:
-    """Spans (document_id, page_start, page_end, part, kind, label, text) as numbered chunks."""
+def _pieces(found: DataFrame, budget: int, limit: int, shared: int) -> DataFrame:
+    """Spans as numbered chunks; a recommendation's pieces may fill the ``limit``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                pieces = split_words(r.text, limit * 2 if r.kind == "recommendation" else limit, shared)
-                rows += [(r.document_id, r.page_start, r.page_end, r.part, i, r.kind, r.label, x) for i, x in enumerate(pieces) if len(x) >= LEAST_CHARS]
-            yield pd.DataFrame(rows, columns=["document_id", "page_start", "page_end", "part", "piece", "kind", "label", "text"])
-
-    out = spans.select("document_id", "page_start", "page_end", "part", "kind", "label", "text").mapInPandas(run, "document_id string, page_start int, page_end int, part int, piece int, kind string, label string, text string")
-    out = numbered(blocked(out, "page_start"), "document_id", ["page_start", "part", "piece"])
+            size = [limit if k == "recommendation" else min(budget, limit) for k in pdf["kind"]]
+            pdf["text"] = [split_text(t, b, shared, limit) for t, b in zip(pdf["text"], size)]
+            pdf["piece"] = [list(range(len(x))) for x in pdf["text"]]
+            yield pdf.explode(["text", "piece"]).dropna(subset=["text"])
+
+    rows = found.select("document_id", "page_start", "page_end", "line_no", "part", "kind", "label", "section", F.lit(0).alias("piece"), "text")
+    out = rows.mapInPandas(run, rows.schema)
+    out = numbered(blocked(out, "page_start"), "document_id", ["page_start", "line_no", "part", "piece"])
     name = F.format_string("%s__p%d-%d__c%04d", "document_id", "page_start", "page_end", "seq")
-    return out.select("document_id", name.alias("chunk_id"), "kind", "label", "page_start", "page_end", "seq", "text")
+    return out.select("document_id", name.alias("chunk_id"), "kind", "label", "section", "page_start", "page_end", "seq", "text")
 
 
-def atomic_chunks(pages: DataFrame, limit: int = WORDS, shared: int = SHARED) -> DataFrame:
+def atomic_chunks(pages: DataFrame, budget: int = BUDGET, limit: int = LIMIT, shared: int = SHARED) -> DataFrame:
     """Chunks of ``pages`` (document_id, page_number, text) along recommendations, headings and pages."""
-    cast = pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text")
-    parts = blocked(cast.mapInPandas(_segmented, "document_id string, page_number int, part int, kind string, label string, text string"), "page_number")
-    anchor = F.when(F.col("kind") != "page", F.struct("page_number", "part", "kind", "label"))
-    at = carried(parts, "document_id", ["page_number", "part"], anchor, "anchor")
-    # The beginning of a page goes on with a recommendation, and is a span of its own after anything else.
-    goes_on = (F.col("kind") == "page") & F.coalesce(F.col("anchor.kind") == "recommendation", F.lit(False))
-    of = F.when(goes_on, F.col("anchor")).otherwise(F.struct("page_number", "part", "kind", "label"))
-    spans = at.select("document_id", of.alias("of"), "page_number", "part", "text").groupBy("document_id", "of").agg(F.max("page_number").alias("page_end"), F.array_sort(F.collect_list(F.struct("page_number", "part", "text"))).alias("texts"))
-    joined = spans.select("document_id", F.col("of.page_number").alias("page_start"), "page_end", F.col("of.part").alias("part"), F.col("of.kind").alias("kind"), F.col("of.label").alias("label"), F.array_join("texts.text", "\n").alias("text"))
-    return _pieces(joined, limit, shared)
-
-
-def page_buffer_chunks(pages: DataFrame, limit: int = WORDS, shared: int = SHARED, size: int = PAGES_PER_BLOCK) -> DataFrame:
-    """Chunks of consecutive pages packed until the section changes or the buffer is full; ``pages`` also has
-    ``section``. Packing starts anew every ``size`` pages, so a task holds that many pages of a document."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, held, section = [], [], None
-
-        def flush() -> None:
-            rows.append((pdf["document_id"].iloc[0], held[0][0], held[-1][0], 0, "page", section or "", "\n\n".join(x for _, x in held)))
-            held.clear()
-
-        for page, text, own in pdf.sort_values("page_number")[["page_number", "text", "section"]].itertuples(index=False):
-            if held and (own != section or sum(len(x) for _, x in held) + len(text or "") > BUFFER):
-                flush()
-            section = own
-            if (text or "").strip():
-                held.append((page, text))
-        if held:
-            flush()
-        return pd.DataFrame(rows, columns=["document_id", "page_start", "page_end", "part", "kind", "label", "text"])
-
-    rows = blocked(pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text", "section"), "page_number", size)
-    spans = rows.groupBy("document_id", "block").applyInPandas(run, "document_id string, page_start int, page_end int, part int, kind string, label string, text string")
-    return _pieces(spans, limit, shared)
+    return _pieces(spans(pages), budget, limit, shared)
+
+
+def _next(lengths: list[int], at: int) -> int:
+    """Where the buffer after the one that begins at ``at`` begins."""
+    total = 0
+    for i in range(at, len(lengths)):
+        if total and total + 2 + lengths[i] > MOST_CHARS:
+            return i
+        total += lengths[i] + (2 if total else 0)
+        if total >= ENOUGH_CHARS:
+            return i + 1
+    return len(lengths)
+
+
+def buffers(pages: DataFrame) -> DataFrame:
+    """``pages`` (document_id, page_number, chars, alone, section) with ``first``: the page that begins the buffer each is
+    in. Pages that stand alone are their own. A buffer ends where the section changes, before it would hold more than
+    ``MOST_CHARS``, and once it holds ``ENOUGH_CHARS``; lengths alone are looked at."""
+    order = ["page_number"]
+    rows = blocked(pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "chars", "alone", "section"), "page_number")
+    ends = F.struct((F.col("alone") | (F.col("chars") >= ENOUGH_CHARS)).alias("ends"), F.col("section").alias("section"))
+    rows = beside(rows, "document_id", order, ends, "before", back=True)
+    fresh = F.col("before").isNull() | F.col("before.ends") | F.col("alone") | ~F.col("before.section").eqNullSafe(F.col("section"))
+    rows = summed(rows, ["document_id"], order, F.when(fresh, 1).otherwise(0), "runs").withColumn("run", F.col("runs") + F.when(fresh, 1).otherwise(0))
+    alone = rows.filter("alone").select("document_id", "page_number", F.col("page_number").alias("first"))
+    rows = summed(rows.filter("NOT alone"), ["document_id", "run"], order, F.lit(1), "place")
+    size = PAGES_PER_BLOCK
+    rows = rows.select("document_id", "run", "page_number", "chars", F.col("place").cast("int").alias("place"))
+    # Every block also has the first pages of the next, into which its last buffer may reach.
+    also = F.when((F.col("place") >= size) & (F.col("place") % size < PAGES_IN_BUFFER), F.array(F.floor(F.col("place") / size), F.floor(F.col("place") / size) - 1)).otherwise(F.array(F.floor(F.col("place") / size)))
+    blocks = rows.withColumn("block", F.explode(also)).groupBy("document_id", "run", "block").agg(F.array_sort(F.collect_list(F.struct("place", "page_number", "chars"))).alias("pages"))
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each page on which the first buffer of a block may begin, where that of the next block does."""
+        for pdf in batches:
+            out = []
+            for lengths in pdf["lengths"]:
+                own, row = min(size, len(lengths)), []
+                for entry in range(PAGES_IN_BUFFER + 1):
+                    at = entry
+                    while at < own:
+                        at = _next(list(lengths), at)
+                    row.append(max(0, at - size))
+                out.append(row)
+            pdf["exits"] = out
+            yield pdf[["document_id", "run", "block", "exits"]]
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for d, numbers, lengths, entry in zip(pdf["document_id"], pdf["numbers"], pdf["lengths"], pdf["entry"]):
+                at, own = int(entry), min(size, len(lengths))
+                while at < own:
+                    stop = _next(list(lengths), at)
+                    out += [(d, int(p), int(numbers[at])) for p in numbers[at:stop]]
+                    at = stop
+            yield pd.DataFrame(out, columns=["document_id", "page_number", "first"])
+
+    flat = blocks.select("document_id", "run", "block", F.col("pages.page_number").alias("numbers"), F.col("pages.chars").alias("lengths"))
+    found = flat.select("document_id", "run", "block", "lengths").mapInPandas(exits, "document_id string, run long, block long, exits array<int>")
+    chain = found.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(F.struct("block", "exits"))).alias("b"))
+    entries = F.aggregate("b", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.get(x["exits"], F.element_at(acc, -1)))))
+    entry = chain.select("document_id", "run", F.posexplode(F.slice(entries, 1, F.size("b"))).alias("block", "entry")).withColumn("block", F.col("block").cast("long"))
+    packed = flat.join(entry, ["document_id", "run", "block"]).select("document_id", "numbers", "lengths", "entry").mapInPandas(starts, "document_id string, page_number int, first int")
+    return packed.unionByName(alone)
+
+
+def page_buffer_chunks(pages: DataFrame, budget: int = BUDGET, limit: int = LIMIT, shared: int = SHARED) -> DataFrame:
+    """Chunks of consecutive pages of one section packed into buffers; ``pages`` (document_id, page_number, text, section,
+    status). Corrupted pages are left out, pages with little text stand alone, buffers with hardly any give no chunk."""
+    text = F.coalesce("text", F.lit(""))
+    rows = pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), text.alias("text"), "section", (F.col("status") == "corrupted").alias("bad"), ((F.col("status") == "low_text") | (F.length(text) < ALONE_CHARS)).alias("low"))
+    sized = rows.select("document_id", "page_number", F.length("text").alias("chars"), F.coalesce(F.col("bad") | F.col("low"), F.col("low"), F.lit(False)).alias("alone"), "section")
+    good = rows.filter(~F.coalesce("bad", F.lit(False))).join(buffers(sized), ["document_id", "page_number"])
+    whole = good.groupBy("document_id", "first").agg(F.max("page_number").alias("page_end"), F.min_by("section", "page_number").alias("section"), F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("texts"))
+    joined = F.array_join(F.filter("texts.text", lambda x: F.length(F.trim(x)) > 0), "\n\n")
+    out = whole.select("document_id", F.col("first").alias("page_start"), "page_end", F.lit(0).alias("line_no"), F.lit(0).alias("part"), F.lit("page").alias("kind"), F.lit("").alias("label"), "section", F.regexp_replace(joined, r"^\s+|\s+$", "").alias("text"))
+    return _pieces(out.filter(F.length("text") >= LEAST_CHARS), budget, limit, shared)
+
+
+STRATEGIES = {"atomic": atomic_chunks, "page_buffer": page_buffer_chunks}
+
+
+def chunked(pages: DataFrame, strategy: str = "atomic", **sizes: int) -> DataFrame:
+    """Chunks by the strategy of that name."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}; there are {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy](pages, **sizes)

@@ -10,6 +10,7 @@ from quillspark.functions import text as T
 from quillspark.operators import ordered as O
 from quillspark.operators import sections as S
 from quillspark.plans.registry import query, table
+from quillspark.session import stored
 
 _WS = r"[ \t\n\x0b\f\r\x{a0}]+"
 
@@ -468,4 +469,47 @@ def atomic_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_buffer_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pages cut anew into chunks by packing pages."""
-    return S.page_buffer_chunks(S.carried_sections(_page_texts(spark, d)))
+    return S.page_buffer_chunks(S.carried_sections(_page_texts(spark, d)).withColumn("status", T.extraction_status(F.col("text"))))
+
+
+_ANCHOR = rf"""regexp_matches(line, '{S.SECTION_LINE}') AND NOT regexp_matches(line, '{S.NOT_A_SECTION}') AND NOT regexp_matches(trim(regexp_extract(line, '{S.SECTION_LINE}', 2)), '{S.NOT_A_TITLE}')
+  AND len(string_split_regex(trim(regexp_extract(line, '{S.SECTION_LINE}', 2)), '\s+')) <= 12"""
+
+
+@query(rf"""WITH p AS (SELECT document_id, page_number, arg_max(raw_text, page_key || ingested_at) FILTER (raw_text IS NOT NULL) AS t FROM pages_df GROUP BY ALL),
+l AS (SELECT document_id, page_number, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no FROM p WHERE t IS NOT NULL),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '{S.RECOMMENDATION_LINE}') THEN {{'kind': 'recommendation', 'label': regexp_extract(line, '{S.RECOMMENDATION_LINE}', 1)}} WHEN regexp_matches(line, '{S.RECOMMENDATION_ID}') THEN {{'kind': 'recommendation', 'label': regexp_extract(line, '{S.RECOMMENDATION_ID}', 1)}}
+  WHEN {_ANCHOR} THEN {{'kind': 'section', 'label': regexp_extract(line, '{S.SECTION_LINE}', 1) || ' ' || trim(regexp_extract(line, '{S.SECTION_LINE}', 2))}} END AS anchor FROM l),
+h AS (SELECT *, last_value(anchor.kind IGNORE NULLS) OVER w AS hard FROM k WINDOW w AS (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, CASE WHEN anchor IS NOT NULL THEN {{'p': page_number, 'l': line_no, 'kind': anchor.kind, 'label': anchor.label}} WHEN line_no = 0 AND coalesce(hard, '') <> 'recommendation' THEN {{'p': page_number, 'l': line_no, 'kind': 'page', 'label': ''}} END AS own FROM h),
+o AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS s FROM b),
+g AS (SELECT document_id, s.p AS page_start, s.l AS line_no, s.kind AS kind, s.label AS label, max(page_number) AS page_end, regexp_replace(string_agg(line, chr(10) ORDER BY page_number, line_no), '^[ 	
+]+|[ 	
+]+$', '', 'g') AS t FROM o GROUP BY ALL)
+SELECT document_id, page_start, page_end, line_no::INT AS line_no, kind, label, length(t)::INT AS chars, md5(t) AS digest FROM g WHERE length(t) >= {S.LEAST_CHARS}""")
+def structure_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans that atomic chunks are cut from, whole."""
+    rows = S.spans(_page_texts(spark, d), precut=1 << 30)
+    return rows.select("document_id", "page_start", "page_end", "line_no", "kind", "label", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query(f"""SELECT strategy, 0::BIGINT AS over_limit, 0::BIGINT AS empty, 0::BIGINT AS repeated_ids, 0::BIGINT AS words_lost FROM (VALUES ('atomic'), ('page_buffer')) t(strategy)""")
+def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What chunks of either strategy must never do: exceed the limit of tokens, be empty, share an id, or lose a word of a
+    span that is no shorter than the least (atomic: words of the spans against words of their chunks)."""
+    texts = stored(S.carried_sections(_page_texts(spark, d)).withColumn("status", T.extraction_status(F.col("text"))))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    out = None
+    for name in sorted(S.STRATEGIES):
+        made = stored(S.chunked(texts, name))
+        counts = made.agg(F.count_if(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0))) > S.LIMIT).alias("over_limit"), F.count_if(F.trim("text") == "").alias("empty"), (F.count("*") - F.count_distinct("chunk_id")).alias("repeated_ids"))
+        if name == "atomic":
+            have = made.select("document_id", F.explode(words("text")).alias("w")).distinct()
+            lost = S.spans(texts).select("document_id", F.explode(words("text")).alias("w")).distinct().join(have, ["document_id", "w"], "left_anti").agg(F.count("*").alias("words_lost"))
+        else:
+            have = made.select("document_id", F.explode(words("text")).alias("w")).distinct()
+            kept = texts.filter("status NOT IN ('corrupted', 'low_text', 'image_only')").filter(F.length("text") >= S.ALONE_CHARS)
+            lost = kept.select("document_id", F.explode(words("text")).alias("w")).distinct().join(have, ["document_id", "w"], "left_anti").agg(F.count("*").alias("words_lost"))
+        row = counts.withColumn("k", F.lit(1)).join(lost.withColumn("k", F.lit(1)), "k").select(F.lit(name).alias("strategy"), "over_limit", "empty", "repeated_ids", "words_lost")
+        out = row if out is None else out.unionAll(row)
+    return out
