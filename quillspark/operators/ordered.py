@@ -57,3 +57,21 @@ def beside(df: DataFrame, group: str, order: list[str], value: Column, name: str
     other = edge.select(group, "block", (F.lag("edge") if back else F.lead("edge")).over(w).alias("other"))
     inside = (F.lag("own_value") if back else F.lead("own_value")).over(W.partitionBy(group, "block").orderBy(*order))
     return df.withColumn(name, inside).join(other, [group, "block"]).withColumn(name, F.coalesce(name, "other")["v"]).drop("own_value", "other")
+
+
+def percentiles(df: DataFrame, group: str, value: str, wanted: dict[str, float], blocks: int = 1024) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of ``value`` per ``group``: group and a column per name in
+    ``wanted``. Equal values are counted first and lie in blocks of their range, so that no group is one task."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = per.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    rows = per.join(ends, per[group].eqNullSafe(ends[group])).drop(ends[group]).withColumn("block", F.least(F.floor(share * blocks), F.lit(blocks - 1)))
+    rows = summed(rows, [group], ["v"], F.col("n"), "before")
+    at = lambda place: F.min(F.when(F.col("before") + F.col("n") > place, F.col("v")))
+    aggs = []
+    for name, p in wanted.items():
+        place = (F.col("total") - 1) * p
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        over, under = F.max(place - F.floor(place)), F.max(F.ceil(place) - place)
+        aggs.append(F.when(low == high, low).otherwise(low * under + high * over).alias(name))
+    return rows.groupBy(group).agg(*aggs)

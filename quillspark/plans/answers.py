@@ -264,7 +264,9 @@ def structure_check(spark: SparkSession, d: str) -> DataFrame:
   round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_ms FROM {_RESULTS} GROUP BY 1""")
 def latency_by_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Counts, mean score and latency percentiles (linear between neighbours)."""
-    return results(spark, d).groupBy(F.coalesce("confidence", F.lit("-")).alias("confidence")).agg(F.count("*").alias("n"), F.count_if(F.size("supporting_evidence") > 0).alias("with_evidence"), F.round(F.avg("top_score"), 6).alias("mean_score"), F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms"), F.round(F.percentile("latency_ms", F.lit(0.5)), 3).alias("p50_ms"), F.round(F.percentile("latency_ms", F.lit(0.95)), 3).alias("p95_ms"))
+    rows = results(spark, d).select(F.coalesce("confidence", F.lit("-")).alias("confidence"), "supporting_evidence", "top_score", "latency_ms")
+    exact = O.percentiles(rows, "confidence", "latency_ms", {"p50": 0.5, "p95": 0.95}).select("confidence", F.round("p50", 3).alias("p50_ms"), F.round("p95", 3).alias("p95_ms"))
+    return rows.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(F.size("supporting_evidence") > 0).alias("with_evidence"), F.round(F.avg("top_score"), 6).alias("mean_score"), F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms")).join(exact, "confidence", "left")
 
 
 @query(f"""SELECT result_id, (floor(length(answer) / 3.5) + 256)::BIGINT AS tokens, (floor(length(answer) / 3.5) + 256) > 350 AS over_budget FROM {_RESULTS} WHERE answer IS NOT NULL""")
@@ -301,3 +303,17 @@ def session_pauses(spark: SparkSession, d: str) -> DataFrame:
     rows = O.beside(O.blocked(rows, "ms", 7 * 86400000), "session_id", ["ms", "result_id"], F.col("ms"), "before", back=True)
     gap = F.col("ms") - F.col("before")
     return rows.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(gap > 86400000).alias("pauses"), F.coalesce(F.max(gap), F.lit(0)).alias("longest_ms"))
+
+
+@query(f"""WITH c AS (SELECT result_id, chunk_id, row_number() OVER (PARTITION BY result_id ORDER BY pos) AS k FROM {_EVIDENCE} WHERE chunk_id IS NOT NULL),
+e AS (SELECT result_id, pos, chunk_id FROM {_EVIDENCE}), d AS (SELECT DISTINCT result_id, chunk_id FROM c WHERE k <= 2), known AS (SELECT chunk_id FROM {_CHUNKS})
+SELECT e.result_id, e.pos, CASE WHEN e.chunk_id IS NULL THEN 'no chunk' WHEN e.chunk_id NOT IN (SELECT chunk_id FROM known) THEN 'made up' WHEN d.chunk_id IS NULL THEN 'not cited' ELSE 'cited' END AS state FROM e LEFT JOIN d ON d.result_id = e.result_id AND d.chunk_id = e.chunk_id""")
+def evidence_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of evidence against the chunks that the answer cites (its first two) and those there are."""
+    e = evidence(spark, d).select("result_id", "pos", "chunk_id")
+    k = F.row_number().over(W.partitionBy("result_id").orderBy("pos"))
+    cited = e.filter("chunk_id IS NOT NULL").withColumn("k", k).filter("k <= 2").select("result_id", "chunk_id", F.lit(True).alias("cited")).distinct()
+    known = chunks(spark, d).select("chunk_id", F.lit(True).alias("known"))
+    both = e.join(known, "chunk_id", "left").join(cited, ["result_id", "chunk_id"], "left")
+    state = F.when(F.col("chunk_id").isNull(), "no chunk").when(F.col("known").isNull(), "made up").when(F.col("cited").isNull(), "not cited").otherwise("cited")
+    return both.select("result_id", "pos", state.alias("state"))

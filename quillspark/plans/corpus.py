@@ -171,7 +171,9 @@ def near_dup_adjacent(spark: SparkSession, d: str) -> DataFrame:
     w = F.regexp_extract_all(F.lower("chunk_text"), F.lit("[a-z0-9]+"), F.lit(0))
     n = F.greatest(F.size("w") - 7, F.lit(0))
     runs = F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, 8), " "))).otherwise(F.expr("cast(array() AS array<string>)")))
-    rows = chunks(spark, d).select("chunk_id", "document_id", "page_start", w.alias("w")).select("chunk_id", "document_id", "page_start", runs.alias("a"))
+    # Runs as numbers, made before deliveries are made one: no text is shuffled.
+    rows = table(spark, d, "chunks").select("chunk_id", "document_id", "page_start", w.alias("w")).select("chunk_id", "document_id", "page_start", F.transform(runs, lambda x: F.xxhash64(x)).alias("a"))
+    rows = once(rows, "chunk_id")
     rows = O.beside(O.blocked(rows, "page_start"), "document_id", ["page_start", "chunk_id"], F.col("a"), "b", back=True).filter("b IS NOT NULL")
     shared = F.size(F.array_intersect("a", "b"))
     alike = shared / F.greatest(F.size("a") + F.size("b") - shared, F.lit(1))
@@ -203,10 +205,11 @@ m AS (SELECT page_key, a.t, a.n - coalesce(b.n, 0) AS missing FROM a LEFT JOIN b
 
 
 def _numbers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = pages(spark, d).filter("raw_text IS NOT NULL AND clean_text IS NOT NULL")
-    side = lambda c, s: rows.select("page_key", F.explode(T.numeric_tokens(F.col(c))).alias("t"), F.lit(s).alias("s"))
+    rows = table(spark, d, "pages_df").filter("raw_text IS NOT NULL AND clean_text IS NOT NULL").select("page_key", T.numeric_tokens(F.col("raw_text")).alias("raw"), T.numeric_tokens(F.col("clean_text")).alias("clean"))
+    rows = once(rows, "page_key")
+    side = lambda c, s: rows.select("page_key", F.explode(c).alias("t"), F.lit(s).alias("s"))
     # One pass over both bags: copies in the raw text less those in the clean one.
-    bags = side("raw_text", 1).unionAll(side("clean_text", -1)).groupBy("page_key", "t").agg(F.sum("s").alias("missing"))
+    bags = side("raw", 1).unionAll(side("clean", -1)).groupBy("page_key", "t").agg(F.sum("s").alias("missing"))
     return rows, bags.filter("missing > 0")
 
 
@@ -219,7 +222,7 @@ def numeric_bag_loss(spark: SparkSession, d: str) -> DataFrame:
 @query(_LOSS + f", tot AS (SELECT sum(len(r))::BIGINT AS n FROM p) SELECT any_value(n) AS numbers, coalesce(sum(missing), 0)::BIGINT AS missing, round(coalesce(sum(missing), 0) / any_value(n), 6) AS loss, coalesce(sum(missing) FILTER (regexp_matches(t, '{T.CRITICAL}')), 0)::BIGINT AS critical FROM tot LEFT JOIN m ON true")
 def numeric_loss_report(spark: SparkSession, d: str) -> DataFrame:
     rows, missing = _numbers(spark, d)
-    total = rows.agg(F.sum(F.size(T.numeric_tokens(F.col("raw_text"))))).first()[0]
+    total = rows.agg(F.sum(F.size("raw"))).first()[0]
     critical = F.coalesce(F.sum(F.when(F.col("t").rlike(T.CRITICAL), F.col("missing"))), F.lit(0))
     lost = missing.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), critical.alias("critical"))
     return lost.select(F.lit(total).cast("long").alias("numbers"), "missing", F.round(F.col("missing") / total, 6).alias("loss"), "critical")
@@ -274,6 +277,15 @@ def recommendation_attach(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id").join(first, "chunk_id", "left")
 
 
+@query(_ATTACH + f""" SELECT c.chunk_id, CASE WHEN k.anchor_kind = 'recommendation' THEN coalesce(m.recommendation_id, k.anchor_label) ELSE m.recommendation_id END AS recommendation_id, m.recommendation_id IS NULL AND k.anchor_kind = 'recommendation' AND k.anchor_label IS NOT NULL AS from_label
+  FROM c JOIN {_CHUNKS} k USING (chunk_id) LEFT JOIN (SELECT chunk_id, recommendation_id FROM m WHERE k = 1) m USING (chunk_id)""")
+def recommendation_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The recommendation of each chunk; chunks cut at a recommendation fall back on their anchor's label."""
+    own = chunks(spark, d).select("chunk_id", F.when(F.col("anchor_kind") == "recommendation", F.col("anchor_label")).alias("label"))
+    both = own.join(recommendation_attach(spark, d).select("chunk_id", F.col("recommendation_id").alias("attached")), "chunk_id", "left")
+    return both.select("chunk_id", F.coalesce("attached", "label").alias("recommendation_id"), (F.col("attached").isNull() & F.col("label").isNotNull()).alias("from_label"))
+
+
 @query(_ATTACH + " SELECT DISTINCT r.document_id, r.recommendation_id FROM r LEFT JOIN m ON m.document_id = r.document_id AND m.recommendation_id = r.recommendation_id WHERE r.recommendation_id IS NOT NULL AND m.chunk_id IS NULL")
 def recommendations_unattached(spark: SparkSession, d: str) -> DataFrame:
     """Recommendation ids that no chunk carries."""
@@ -282,15 +294,17 @@ def recommendations_unattached(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(met.filter("recommendation_id IS NOT NULL").select("document_id", "recommendation_id"), ["document_id", "recommendation_id"], "left_anti")
 
 
-@query(rf"""SELECT r.document_id, r.page_number, count(*) AS recommendations, bool_or(p.page_key IS NOT NULL) AS page_found,
-  count(*) FILTER (contains(trim(regexp_replace(p.raw_text, '[ \t\n\x0b\f\r\x{{a0}}]+', ' ', 'g')), substr(trim(regexp_replace(r.source_excerpt, '[ \t\n\x0b\f\r\x{{a0}}]+', ' ', 'g')), 1, 80)) AND length(r.source_excerpt) >= 8) AS traceable
-  FROM recommendations r LEFT JOIN (SELECT * FROM {_PAGES} WHERE ends_with(page_key, '__r1')) p ON p.document_id = r.document_id AND p.page_number = r.page_number GROUP BY ALL""")
+@query(rf"""SELECT r.document_id, r.page_number, count(*) AS recommendations, bool_or(p.document_id IS NOT NULL) AS page_found,
+  count(*) FILTER (contains(p.t, substr(trim(regexp_replace(r.source_excerpt, '[ \t\n\x0b\f\r\x{{a0}}]+', ' ', 'g')), 1, 80)) AND length(r.source_excerpt) >= 8) AS traceable
+  FROM recommendations r LEFT JOIN (SELECT document_id, page_number, string_agg(trim(regexp_replace(raw_text, '[ \t\n\x0b\f\r\x{{a0}}]+', ' ', 'g')), chr(10) ORDER BY page_key) AS t FROM {_PAGES} GROUP BY ALL) p ON p.document_id = r.document_id AND p.page_number = r.page_number GROUP BY ALL""")
 def recommendation_trace(spark: SparkSession, d: str) -> DataFrame:
-    """Recommendations against the page they name: found, and holding the excerpt."""
-    p = pages(spark, d).filter(F.col("page_key").endswith("__r1")).select("document_id", "page_number", "page_key", T.squashed(F.col("raw_text")).alias("page"))
+    """Recommendations against the page they name, in any of its runs: found, and holding the excerpt."""
+    p = once(table(spark, d, "pages_df").select("page_key", "document_id", "page_number", T.squashed(F.col("raw_text")).alias("page")), "page_key")
+    p = p.groupBy("document_id", "page_number").agg(F.collect_list("page").alias("runs"))
     both = table(spark, d, "recommendations").join(p, ["document_id", "page_number"], "left")
-    held = F.contains("page", F.substring(T.squashed(F.col("source_excerpt")), 1, 80)) & (F.length("source_excerpt") >= 8)
-    return both.groupBy("document_id", "page_number").agg(F.count("*").alias("recommendations"), F.bool_or(F.col("page_key").isNotNull()).alias("page_found"), F.count_if(held).alias("traceable"))
+    head = F.substring(T.squashed(F.col("source_excerpt")), 1, 80)
+    held = F.exists("runs", lambda x: F.contains(x, head)) & (F.length("source_excerpt") >= 8)
+    return both.groupBy("document_id", "page_number").agg(F.count("*").alias("recommendations"), F.bool_or(F.col("runs").isNotNull()).alias("page_found"), F.count_if(held).alias("traceable"))
 
 
 @query(f"""WITH g AS (SELECT document_id, page_number AS a, page_number + 1 AS b, count(*) AS n FROM recommendations GROUP BY ALL)
@@ -379,7 +393,7 @@ def working_text(spark: SparkSession, d: str) -> DataFrame:
     """A page's clean text and its table, unless the text already holds it."""
     fresh = ~F.contains(F.replace(F.coalesce("clean_text", F.lit("")), F.lit(" "), F.lit("")), F.replace("table_text", F.lit(" "), F.lit("")))
     block = F.concat(F.lit("Table:\n"), F.when(fresh, F.col("table_text")))
-    return pages(spark, d).filter("clean_text IS NOT NULL OR table_text IS NOT NULL").select("page_key", F.concat_ws("\n\n", F.nullif(F.trim("clean_text"), F.lit("")), block).alias("working_text"))
+    return once(table(spark, d, "pages_df").filter("clean_text IS NOT NULL OR table_text IS NOT NULL").select("page_key", F.concat_ws("\n\n", F.nullif(F.trim("clean_text"), F.lit("")), block).alias("working_text")), "page_key")
 
 
 @query(r"""SELECT document_id, CASE WHEN regexp_matches(lower(document_name), '\bliving guideline\b') THEN 'living' WHEN regexp_matches(lower(document_name), '\bscreening\b') THEN 'screening' WHEN regexp_matches(lower(document_name), '\bguid(ance|eline)') THEN 'guidance'
@@ -484,8 +498,10 @@ h AS (SELECT *, last_value(anchor.kind IGNORE NULLS) OVER w AS hard FROM k WINDO
 b AS (SELECT *, CASE WHEN anchor IS NOT NULL THEN {{'p': page_number, 'l': line_no, 'kind': anchor.kind, 'label': anchor.label}} WHEN line_no = 0 AND coalesce(hard, '') <> 'recommendation' THEN {{'p': page_number, 'l': line_no, 'kind': 'page', 'label': ''}} END AS own FROM h),
 o AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS s FROM b),
 g AS (SELECT document_id, s.p AS page_start, s.l AS line_no, s.kind AS kind, s.label AS label, max(page_number) AS page_end, regexp_replace(string_agg(line, chr(10) ORDER BY page_number, line_no), '^[ 	
-]+|[ 	
-]+$', '', 'g') AS t FROM o GROUP BY ALL)
+
+]+|[ 	
+
+]+$', '', 'g') AS t FROM o GROUP BY ALL)
 SELECT document_id, page_start, page_end, line_no::INT AS line_no, kind, label, length(t)::INT AS chars, md5(t) AS digest FROM g WHERE length(t) >= {S.LEAST_CHARS}""")
 def structure_spans(spark: SparkSession, d: str) -> DataFrame:
     """The spans that atomic chunks are cut from, whole."""
@@ -513,3 +529,22 @@ def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
         row = counts.withColumn("k", F.lit(1)).join(lost.withColumn("k", F.lit(1)), "k").select(F.lit(name).alias("strategy"), "over_limit", "empty", "repeated_ids", "words_lost")
         out = row if out is None else out.unionAll(row)
     return out
+
+
+_TOPIC = r"aneurysm|aort|vascular"
+
+
+@query(rf"""WITH p AS (SELECT document_id, page_number, arg_max(raw_text, page_key || ingested_at) FILTER (raw_text IS NOT NULL) AS t FROM pages_df GROUP BY ALL),
+k AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS place, regexp_matches(lower(coalesce(t, '')), '{_TOPIC}') AS hit, trim(coalesce(t, '')) <> '' AS filled,
+  coalesce(sum(length(coalesce(t, '')) + 1) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT document_id, NOT bool_or(filled AND place <= 3) OR bool_or(hit AND (place <= 3 OR before <= 8000)) AS valid,
+  CASE WHEN NOT bool_or(filled AND place <= 3) THEN 'no text on the first pages' WHEN NOT bool_or(hit AND (place <= 3 OR before <= 8000)) THEN 'topic not named' END AS reason FROM k GROUP BY document_id""")
+def document_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that name the topic on their first three pages or within their first 8,000 characters; those without
+    text there stay, for they may be scanned."""
+    rows = _page_texts(spark, d).select("document_id", "page_number", F.coalesce("text", F.lit("")).alias("t"))
+    rows = O.blocked(rows.select("document_id", "page_number", F.lower("t").rlike(_TOPIC).alias("hit"), (F.trim("t") != "").alias("filled"), F.length("t").alias("chars")), "page_number")
+    rows = O.summed(O.numbered(rows, "document_id", ["page_number"], "place"), ["document_id"], ["page_number"], F.col("chars") + 1, "before")
+    first = F.col("place") <= 3
+    per = rows.groupBy("document_id").agg(F.bool_or(F.col("filled") & first).alias("text"), F.bool_or(F.col("hit") & (first | (F.col("before") <= 8000))).alias("named"))
+    return per.select("document_id", (~F.col("text") | F.col("named")).alias("valid"), F.when(~F.col("text"), "no text on the first pages").when(~F.col("named"), "topic not named").alias("reason"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.plans.answers import _EVIDENCE, _RESULTS, cmp_sql, evidence, match_sql, novel_sql, results, tokens_sql
-from quillspark.plans.corpus import _CHUNKS, _PAGES, chunks, pages
+from quillspark.plans.corpus import _CHUNKS, _PAGES, chunks, once
 from quillspark.plans.registry import query, table
 from quillspark.plans.retrieval import _ROUNDED, _RUN, _per_query
 
@@ -27,7 +27,7 @@ def unwrapped(text: Column) -> Column:
 @query(rf"""SELECT page_key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(raw_text, '{_INVISIBLE}', ''), '{_BLANKS}', '   '), '([a-z])-\n([a-z])', '\1\2', 'g'), '([^\n.!?:|])\n([a-z])', '\1 \2', 'g'), '[ \t]+', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS clean
   FROM {_PAGES} WHERE raw_text IS NOT NULL""")
 def unwrapped_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).filter("raw_text IS NOT NULL").select("page_key", unwrapped(F.col("raw_text")).alias("clean"))
+    return once(table(spark, d, "pages_df").filter("raw_text IS NOT NULL").select("page_key", unwrapped(F.col("raw_text")).alias("clean")), "page_key")
 
 
 @query(rf"""WITH t AS (SELECT page_key, {cmp_sql('table_text')} AS t, {cmp_sql("coalesce(clean_text, '')")} AS b FROM {_PAGES} WHERE table_text IS NOT NULL),
@@ -38,14 +38,14 @@ SELECT page_key, len(w)::BIGINT AS words, CASE WHEN contains(b, t) OR (length(re
 def table_redundancy(spark: SparkSession, d: str) -> DataFrame:
     """How much of a page's table its text already holds: whole, without blanks, or by runs of five words."""
     split = lambda c: F.filter(F.split(c, " "), lambda x: ~x.isin("", "|"))
-    rows = pages(spark, d).filter("table_text IS NOT NULL").select("page_key", T.compared(F.col("table_text")).alias("t"), T.compared(F.coalesce("clean_text", F.lit(""))).alias("b"))
+    rows = table(spark, d, "pages_df").filter("table_text IS NOT NULL").select("page_key", T.compared(F.col("table_text")).alias("t"), T.compared(F.coalesce("clean_text", F.lit(""))).alias("b"))
     rows = rows.select("page_key", "t", "b", split("t").alias("w"), F.array_join(split("b"), " ").alias("body"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
     squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     whole = F.contains("b", "t") | ((F.length(squeezed("t")) >= 40) & F.contains(squeezed("b"), squeezed("t")))
     share = F.round(F.size(F.filter(runs, lambda x: F.contains(F.col("body"), x))) / F.size(runs), 6)
     held = F.when(whole, 1.0).when(F.size("w") < 5, F.contains("body", F.array_join("w", " ")).cast("double")).otherwise(share)
-    return rows.select("page_key", F.size("w").cast("long").alias("words"), held.alias("held"))
+    return once(rows.select("page_key", F.size("w").cast("long").alias("words"), held.alias("held")), "page_key")
 
 
 _SENTENCE = r"[^.!?\n]+[.!?]"

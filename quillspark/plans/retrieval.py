@@ -120,6 +120,19 @@ def rank_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return R.equivalence(R.dense_topk(rows, queries), R.dense_topk(coarse, coarse.filter("vec_id % 50 = 0")), "vec_id")
 
 
+@query(_ROUNDED + """, f AS (SELECT query_id, bool_or(lr = 1 AND rr = 1) AS same_top1, bool_and(lr <= 10 AND rr <= 10) AS same_set, bool_and(lr <= 10 AND rr <= 10 AND abs(sa - sb) <= 0.02) AS scores_within, 0::BIGINT AS field_mismatches, bool_and(lr = rr) AS same_order FROM r WHERE lr <= 10 OR rr <= 10 GROUP BY query_id),
+t AS (SELECT a.query_id, bool_and(a.vec_id = b.vec_id OR coalesce(abs(a.sa - b.sa) <= 0.02 AND b.lr <= 10, false)) AS ties_only FROM r a JOIN r b ON b.query_id = a.query_id AND b.rr = a.lr WHERE a.lr <= 10 GROUP BY a.query_id)
+SELECT f.*, ties_only, same_top1 AND same_set AND scores_within AND (same_order OR ties_only) AS passed FROM f JOIN t USING (query_id)""")
+def migration_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index with coarse vectors may stand for the exact one, within two hundredths."""
+    rows, queries = _vectors(spark, d)
+    coarse = rows.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 2)))
+    labels = rows.select("vec_id", "label")
+    a = R.dense_topk(rows, queries).join(labels, "vec_id")
+    b = R.dense_topk(coarse, coarse.filter("vec_id % 50 = 0")).join(labels, "vec_id")
+    return R.migration_verdict(a, b, "vec_id", ["label"], 0.02)
+
+
 _RUN = """per{n} AS (SELECT query_id, count(*) FILTER (k <= 1 AND relevant) AS p1, coalesce(1 / min(k) FILTER (k <= 10 AND relevant), 0) AS rr,
   count(*) FILTER (k <= 5 AND relevant) AS r5, count(*) FILTER (k <= 10 AND relevant) AS r10 FROM
   (SELECT query_id, relevant, row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, vec_id) AS k FROM s WHERE vec_id <> query_id) GROUP BY query_id)"""

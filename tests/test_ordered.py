@@ -164,3 +164,19 @@ def test_page_buffer(spark):
 ])
 def test_anchors_of_lines(spark, line, kind):
     assert spark.range(1).select(S.anchored(F.lit(line))["kind"].alias("k")).first().k == kind
+
+
+def test_percentiles_equal_sorting(spark):
+    rng = random.Random(4)
+    data = [(g, None if rng.random() < 0.1 else round(rng.choice([rng.random() * 10, rng.gauss(0, 1), 5.0]), 3)) for g in ("a", "b", None) for _ in range(200)] + [("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    got = {r.g: (r.p25, r.p95) for r in O.percentiles(spark.createDataFrame(data, "g string, v double"), "g", "v", {"p25": 0.25, "p95": 0.95}, blocks=16).collect()}
+
+    def at(values, p):
+        place = (len(values) - 1) * p
+        low = int(place)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (place - low)
+
+    for g in ("a", "b", "one", "same"):
+        values = sorted(v for x, v in data if x == g and v is not None)
+        assert got[g] == pytest.approx((at(values, 0.25), at(values, 0.95)))
+    assert "none" not in got

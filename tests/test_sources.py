@@ -56,3 +56,51 @@ def test_encoder_is_unit_and_deterministic(spark):
     df = spark.createDataFrame([("aorta repair",), ("",), (None,)], "t string")
     rows = [r.e for r in df.select(I.embedded(F.col("t")).alias("e")).collect()]
     assert abs(np.linalg.norm(rows[0]) - 1) < 1e-6 and not any(rows[1]) and not any(rows[2])
+
+
+def test_preferred_folders_decide_which_copy_stays(spark, tmp_path):
+    for name in ("new", "old"):
+        (tmp_path / name).mkdir()
+    for name in ("old/a.txt", "new/z.txt"):
+        (tmp_path / name).write_text("one")
+    kept = files.without_copies(files.discovered(spark, str(tmp_path), "*.txt", preferred=("new",))).filter("kept").collect()
+    assert [r.path.endswith("new/z.txt") for r in kept] == [True]
+
+
+def test_written_tables(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/pages")
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    got = {r.name: r.status for r in files.written(spark, str(tmp_path), ["pages", "chunks"]).collect()}
+    assert got == {"pages": "ok", "chunks": "missing", "other": "unexpected"}
+
+
+def test_chunk_store(spark, tmp_path):
+    df = spark.createDataFrame([("a", "text"), ("b", None)], "chunk_id string, chunk_text string")
+    path = f"{tmp_path}/store"
+    files.write_chunks(df, path)
+    assert files.read_chunks(spark, path).count() == 2
+    assert spark.read.json(f"{path}/quality").first()["blank"] == 1
+    with pytest.raises(Exception):
+        files.write_chunks(df, path)
+    files.write_chunks(df.union(df), path, recreate=True)
+    with pytest.raises(ValueError):
+        files.read_chunks(spark, path)
+
+
+def test_upsert_is_checked(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(path)
+    new = spark.createDataFrame([(2, "c")], "k long, v string")
+    assert sorted(map(tuple, files.upserted(spark, path, new, "k").collect())) == [(1, "a"), (2, "c")]
+    assert spark.read.parquet(path).count() == 2
+    spark.createDataFrame([(1, "a")], "k long, v string").write.parquet(f"{tmp_path}/u")
+    with pytest.raises(ValueError):
+        files.upserted(spark, f"{tmp_path}/u", new.union(new), "k")
+
+
+def test_frozen_json(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x.json").write_text('{"a": "é"}')
+    row = files.frozen_json(spark, f"{tmp_path}/x.json").first()
+    assert row.json == '{"a": "é"}' and row.sha256 == hashlib.sha256('{"a": "é"}'.encode()).hexdigest()
