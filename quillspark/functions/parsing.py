@@ -27,13 +27,16 @@ def first_object(text: str | None) -> str | None:
 
 
 def json_object(text: Column) -> Column:
-    """The first JSON object of each text, as normalised JSON; read its fields with ``from_json``."""
+    """The first JSON object of each text, as JSON; read its fields with ``from_json``. Where the text between the first
+    and the last brace is an object, the JVM reads it; only other texts go to Python."""
 
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(first_object)
 
-    return run(text)
+    body = F.regexp_replace(text, r"(?s)<think>.*?(?:</think>|$)", "")
+    plain = F.get_json_object(F.regexp_extract(body, r"(?s)^[^{]*(\{.*\})[^}]*$", 1), "$")
+    return F.coalesce(plain, run(F.when(plain.isNull() & body.contains("{"), text)))
 
 
 def name_id(name: Column, namespace: uuid.UUID = NAMESPACE) -> Column:

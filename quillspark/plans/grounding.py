@@ -10,7 +10,7 @@ from quillspark.functions import text as T
 from quillspark.plans.answers import _EVIDENCE, _RESULTS, cmp_sql, evidence, match_sql, novel_sql, results, tokens_sql
 from quillspark.plans.corpus import _CHUNKS, _PAGES, chunks, once
 from quillspark.plans.registry import query, table
-from quillspark.plans.retrieval import _ROUNDED, _RUN, _per_query
+from quillspark.plans.retrieval import _ROUNDED, _RUN, _others, _per_query
 
 _INVISIBLE, _BLANKS = "\ufeff\xad", "\xa0\u2009\u202f"
 
@@ -110,6 +110,15 @@ def top1_changes(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(change.alias("change")).agg(F.count("*").alias("queries"))
 
 
+@query(_ROUNDED + """, h AS (SELECT q.query_id, q.k, q.relevant FROM (SELECT query_id, relevant, row_number() OVER (PARTITION BY query_id ORDER BY sa DESC, vec_id) AS k FROM s WHERE vec_id <> query_id) q WHERE k <= 30)
+SELECT query_id, min(k) FILTER (relevant) AS first_relevant_rank, coalesce(min(k) FILTER (relevant) BETWEEN 11 AND 30, false) AS rescuable FROM h GROUP BY query_id""")
+def rescue_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Queries whose first relevant hit lies beyond the tenth but among the thirty that a reranker sees."""
+    hits = _others(spark, d, 30)
+    first = F.min(F.when(F.col("relevant"), F.col("rank")))
+    return hits.groupBy("query_id").agg(first.alias("first_relevant_rank"), F.coalesce(first.between(11, 30), F.lit(False)).alias("rescuable"))
+
+
 @query(f"""SELECT result_id, documents FROM (SELECT result_id, len(list_distinct(list_filter(list_transform(supporting_evidence, lambda x: split_part(x.chunk_id, '__', 1)), lambda x: x IS NOT NULL))) AS documents FROM {_RESULTS} WHERE supporting_evidence IS NOT NULL)
 ORDER BY documents DESC, result_id LIMIT 10""")
 def subset_selection(spark: SparkSession, d: str) -> DataFrame:

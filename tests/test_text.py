@@ -76,6 +76,12 @@ def test_first_object(text, found):
     assert parsing.first_object(text) == found
 
 
+def test_json_objects_by_either_way(spark):
+    texts = ['```json\n{"a": 1}\n```', '<think>{"b": 2}</think>{"a": 1}', 'x {bad} {"a": 1} y', "none", None, '<think>{', '{"a": 1} and {"c": 2}']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", F.from_json(parsing.json_object(F.col("x")), "a int")["a"].alias("a")).collect()
+    assert {r.i: r.a for r in rows} == {0: 1, 1: 1, 2: 1, 3: None, 4: None, 5: None, 6: 1}
+
+
 def test_name_id(spark):
     import uuid
 
