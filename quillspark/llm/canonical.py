@@ -279,3 +279,10 @@ def look_alike_pairs(members: DataFrame) -> DataFrame:
     b = members.select("table_name", F.col("stored").alias("second"), F.col("record_key").alias("b"))
     pairs = differ.join(a, ["table_name", "first"]).join(b, ["table_name", "second"])
     return pairs.select("table_name", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+
+
+def classes(members: DataFrame) -> DataFrame:
+    """Records of which some other looks the same and is stored differently, one row each: table_name, record_key, class_id
+    (digest of the form they share), records and stored variants of the class."""
+    sizes = members.groupBy("table_name", "form").agg(F.count("*").alias("records"), F.count_distinct("stored").alias("variants")).filter("variants > 1")
+    return members.join(sizes, ["table_name", "form"]).select("table_name", "record_key", F.col("form").alias("class_id"), "records", "variants")

@@ -76,7 +76,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(sized: DataFrame, key: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, seed: int = 1) -> DataFrame:
-    """``sized`` (``key`` bigint, ``n_tokens`` bigint) as one row per piece: key, ``piece_no``,
+    """``sized`` (``key``, ``n_tokens`` bigint) as one row per piece: key, ``piece_no``,
     ``piece_tokens``, ``group_no``, ``container_no`` (within its group)."""
     groups = max(1, -(-sized.count() // group_items))
     rows = sized.select(key, F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).alias("n_tokens"))
@@ -91,4 +91,5 @@ def pack(sized: DataFrame, key: str, capacity: int = CAPACITY, group_items: int
         size = np.where(piece < pieces[row] - 1, capacity, n[row] - (pieces[row] - 1) * capacity)
         return pd.DataFrame({key: pdf[key].to_numpy()[row], "piece_no": piece, "piece_tokens": size, "group_no": pdf["group_no"].to_numpy()[row], "container_no": first_fit_decreasing(size, capacity)})
 
-    return rows.withColumn("group_no", spread).groupBy("group_no").applyInPandas(run, f"{key} bigint, piece_no bigint, piece_tokens bigint, group_no bigint, container_no bigint")
+    kind = sized.schema[key].dataType.simpleString()
+    return rows.withColumn("group_no", spread).groupBy("group_no").applyInPandas(run, f"`{key}` {kind}, piece_no bigint, piece_tokens bigint, group_no bigint, container_no bigint")

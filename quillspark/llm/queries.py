@@ -28,6 +28,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alike_pairs(stored(canonical.same_looking(tables.records(spark, d))))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as one row per record with its class, so that a class of any size is as many rows as it has records."""
+    return canonical.classes(stored(canonical.same_looking(tables.records(spark, d))))
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its text in the consistent form, once each."""
     rows = tables.records(spark, d).dropDuplicates(["table_name", "record_key"])
@@ -93,7 +98,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_documents(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p4_found, p4_repaired, p5_found, p5_restored, p6_containers, p6_fill, p7_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_classes, p2_canonical, p3_found, p4_found, p4_repaired, p5_found, p5_restored, p6_containers, p6_fill, p7_found, p8_pieces)}
 _LINES = """
 WITH pages AS (
   SELECT page_key, any_value(document_id) AS document_id, any_value(raw_text) AS t FROM pages_df
@@ -112,4 +117,7 @@ many AS (
 
 SQL: dict[str, str] = {
     "p1_found": _LINES + "SELECT page_key, line_no::BIGINT AS line_no FROM folded JOIN many USING (document_id, line)",
+    "p1_clean": _LINES + """, typed AS (SELECT page_key, any_value(raw_text) AS t FROM pages_df WHERE extraction_library <> 'pytesseract' GROUP BY page_key),
+kept AS (SELECT page_key, string_agg(raw, chr(10) ORDER BY line_no) FILTER (m.line IS NULL) AS t FROM folded f LEFT JOIN many m USING (document_id, line) GROUP BY page_key)
+SELECT page_key, CASE WHEN k.page_key IS NULL THEN typed.t ELSE coalesce(k.t, '') END AS text FROM typed LEFT JOIN kept k USING (page_key)""",
 }

@@ -82,3 +82,5 @@ def test_many_copies_meet_only_other_variants(spark):
     members = C.same_looking(df)
     got = C.look_alike_pairs(members).collect()
     assert len(got) == 3000 and {r.key_b for r in got} == {"z"}
+    rows = C.classes(members).collect()
+    assert len(rows) == 3001 and {(r.records, r.variants) for r in rows} == {(3001, 2)} and len({r.class_id for r in rows}) == 1
