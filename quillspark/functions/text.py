@@ -167,14 +167,18 @@ def content_tokens(form: Column) -> Column:
     return F.array_except(F.filter(found, lambda x: F.length(x) >= 2), stop)
 
 
+#: A token in one of its suffixes' alternatives, the first that leaves four characters, and what is left of it.
+_STEM, _LEFT = "(?m)^(?:" + "|".join(f"(.{{4,}}){s}" for s in SUFFIXES) + ")$", "".join(f"${i}" for i in range(1, len(SUFFIXES) + 1))
+
+
 def stem(token: Column) -> Column:
     """The token without the first of the suffixes that leaves four characters."""
-    out = None
-    for s in SUFFIXES:
-        fits = F.endswith(token, F.lit(s)) & (F.length(token) - len(s) >= 4)
-        cut = F.substring(token, F.lit(1), F.length(token) - len(s))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(token)
+    return F.regexp_replace(token, _STEM, _LEFT)
+
+
+def stems(tokens: Column) -> Column:
+    """The distinct stems of an array of tokens, all at once."""
+    return F.array_distinct(F.split(stem(F.array_join(tokens, "\n")), "\n"))
 
 
 def alnum_share(text: Column) -> Column:
@@ -233,9 +237,8 @@ def numeric_tokens(text: Column) -> Column:
 def novel_stems(tokens: Column, known: Column, ignored: tuple[str, ...] = (*EVIDENCE_WORDS, *QUALIFIERS)) -> Column:
     """Stems of the ``tokens`` of five letters and more that no token of ``known`` shares and that are not those of the
     ``ignored`` words."""
-    words = F.filter(tokens, lambda x: x.rlike(r"^\p{L}{5,}$"))
-    skip = F.array(*[F.lit(w) for w in dict.fromkeys(stem_of(w) for w in ignored)])
-    stems = lambda a: F.array_distinct(F.transform(a, lambda x: stem(x)))
+    words = F.regexp_extract_all(F.array_join(tokens, "\n"), F.lit(r"(?m)^\p{L}{5,}$"), F.lit(0))
+    skip = F.array(*[F.lit(w) for w in dict.fromkeys(["", *(stem_of(w) for w in ignored)])])
     return F.array_except(F.array_except(stems(words), stems(known)), skip)
 
 

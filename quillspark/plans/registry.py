@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.session import SPREAD
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +25,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables whose rows hold whole texts, on which the work is mostly computing.
+TEXTS = {"documents", "pages_df", "chunks"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table of the folder."""
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    if name in TEXTS and spark.conf.get(SPREAD, "false") == "true":
+        cores = spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df

@@ -247,12 +247,13 @@ def _pool(texts: DataFrame, vectors: DataFrame, asked: DataFrame, depth: int = 3
     ``asked`` (query_id, query, embedding), with both scores; stored once."""
     dense = _dense(vectors, asked, depth).select("query_id", "doc_id")
     queries = asked.select("query_id", "query")
-    best = R.bm25_topk(texts, queries, depth)[0].select("query_id", "doc_id")
+    counts = R.bm25_counts(texts, queries)
+    best = R.bm25_topk(texts, queries, depth, counts=counts)[0].select("query_id", "doc_id")
     ids = stored(dense.union(best).distinct())
     q = asked.select("query_id", F.col("embedding").alias("qv"))
     dot = F.aggregate(F.zip_with("qv", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     both = vectors.select("doc_id", "embedding").join(broadcast_if_small(ids), "doc_id").join(q, "query_id").select("query_id", "doc_id", F.round(dot, R.DIGITS).alias("dense"))
-    found = R.bm25_of(texts, queries, ids).withColumnRenamed("score", "lexical")
+    found = R.bm25_of(counts, ids).withColumnRenamed("score", "lexical")
     return stored(both.join(found, ["query_id", "doc_id"], "left").fillna(0.0, ["lexical"]).select("query_id", "doc_id", "dense", "lexical"))
 
 

@@ -13,6 +13,11 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
+#: Whether texts that lie in fewer parts than cores (one small file) are spread over the cores before they are worked on.
+#: Only a session for a single node sets it; on a cluster parts are as large as ``spark.sql.files.maxPartitionBytes`` says.
+SPREAD = "spark.quillspark.spreadSmallTexts"
+
+
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and single-node runs; clusters bring their own."""
     return (
@@ -23,6 +28,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config(SPREAD, "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
