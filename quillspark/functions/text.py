@@ -6,7 +6,6 @@ dialect. Null text gives null unless a function says otherwise.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -117,14 +116,16 @@ def compatible() -> tuple[str, str, list[tuple[str, str]]]:
 
 @cache
 def _unsettled() -> str:
-    """A pattern of the characters of which a text in compatibility form may have to be made anew."""
-    marks = [c for c in range(0xA0, sys.maxunicode) if not 0xD800 <= c <= 0xDFFF and (unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFKC", chr(c)) or 0x1160 <= c <= 0x11FF)]
-    out, first = [], marks[0]
-    for a, b in zip(marks, [*marks[1:], -1]):
+    """A short pattern of the characters of which a text in compatibility form may have to be made anew: all but those
+    of the usual alphabets and marks that such a form leaves alone."""
+    usual = [*range(0xA0), *range(0xA0, 0x180), *range(0x391, 0x3CA), *range(0x400, 0x460), *range(0x2010, 0x2023), *range(0x2030, 0x203B)]
+    kept = [c for c in usual if unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c))]
+    out, first = [], kept[0]
+    for a, b in zip(kept, [*kept[1:], -1]):
         if b != a + 1:
             out.append(f"\\x{{{first:x}}}-\\x{{{a:x}}}")
             first = b
-    return "[" + "".join(out) + "]"
+    return "[^" + "".join(out) + "]"
 
 
 @F.pandas_udf(StringType())
